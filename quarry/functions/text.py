@@ -109,14 +109,21 @@ def position_tokens(tokens) -> Column:
 
 
 def shingles(tokens, min_size: int, max_size: int | None = None) -> Column:
-    """Word n-grams of sizes min..max joined by a blank, no unigrams."""
+    """Word n-grams of sizes min..max joined by a blank, no unigrams.
+
+    ``tokens`` should be a column reference (materialise the tokens first):
+    the expression is evaluated inside the per-gram lambda.
+    """
     max_size = max_size or min_size
     toks = _col(tokens)
     parts = []
-    for n in range(max(2, min_size), max_size + 1):
-        parts.append(F.when(F.size(toks) >= n, F.transform(
+    def grams(n):
+        return F.when(F.size(toks) >= n, F.transform(
             F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array()))
+            lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    for n in range(max(2, min_size), max_size + 1):
+        parts.append(grams(n))
     if not parts:
         return F.array().cast("array<string>")
     return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))

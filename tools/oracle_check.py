@@ -74,8 +74,8 @@ def main():
             print(f"FAIL {name}: spark {len(srows)} rows {sorted(scols)} vs duckdb {len(drows)} rows {sorted(dcols)}")
             a, b = rows_of(scols, srows), rows_of(dcols, drows)
             sa, sb = set(a), set(b)
-            print("   spark-only:", sorted(sa - sb)[:3])
-            print("   duck-only: ", sorted(sb - sa)[:3])
+            print("   spark-only:", str(sorted(sa - sb)[:2])[:400])
+            print("   duck-only: ", str(sorted(sb - sa)[:2])[:400])
     print(f"done, {bad} failing")
 
 
