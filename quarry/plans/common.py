@@ -80,5 +80,5 @@ def sql_lm_dirichlet(mu=2000.0) -> str:
 def sql_topk(scored_cte: str, k: int, group: str = "query_id", idc: str = "doc_id",
              score: str = "score") -> str:
     """Ranks rows of ``scored_cte`` like :func:`quarry.operators.search.top_k`."""
-    return (f"(SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY round({score}, 9) DESC, "
-            f"{idc}) AS rank FROM {scored_cte}) WHERE rank <= {k}")
+    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY round({score}, 9) DESC, "
+            f"{idc}) AS rank FROM {scored_cte}) WHERE rank <= {k})")

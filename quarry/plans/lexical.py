@@ -54,3 +54,122 @@ def rank_lm_dirichlet(spark, sf_dir):
 def rank_multi(spark, sf_dir):
     """BM25 + LM-JM summed per term, top-10."""
     return _ranked(spark, sf_dir, "bm25+lm_jm")
+
+
+# ---- boolean, phrase, top-k, explain (Q1–Q4, Q6, Q10, Q11) ------------------
+from quarry.operators.index import tokenize  # noqa: E402
+from quarry.plans.common import sql_std_tokens, tbl  # noqa: E402
+
+# Function words of the other three corpus languages, excluded by search_not.
+FOREIGN_MARKERS = ("le", "la", "les", "der", "die", "das", "el", "los")
+
+_SQL_Q = "q AS (SELECT DISTINCT query_id, term FROM qt)"
+
+
+def _distinct_terms(spark, sf_dir):
+    return bench_terms(spark, sf_dir).select("query_id", "term")
+
+
+def _scored_out(df):
+    return df.select("query_id", "doc_id", r6("score").alias("score"))
+
+
+@register("search_or", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {_SQL_Q}
+SELECT q.query_id, m.doc_id, round(sum({sql_bm25()}), 6) AS score FROM q JOIN m USING (term)
+GROUP BY q.query_id, m.doc_id""")
+def search_or(spark, sf_dir):
+    """Q1: OR over the distinct passage terms, BM25 scored, all matches."""
+    idx = doc_index(spark, sf_dir)
+    return _scored_out(search.boolean_search(idx, should=_distinct_terms(spark, sf_dir)))
+
+
+@register("search_must", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {_SQL_Q},
+nq AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
+h AS (SELECT q.query_id, m.doc_id, sum({sql_bm25()}) AS score, count(*) AS hit
+      FROM q JOIN m USING (term) GROUP BY q.query_id, m.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM h JOIN nq USING (query_id) WHERE hit = n""")
+def search_must(spark, sf_dir):
+    """Q2: every passage term is a MUST clause (conjunctive search)."""
+    idx = doc_index(spark, sf_dir)
+    return _scored_out(search.boolean_search(idx, must=_distinct_terms(spark, sf_dir)))
+
+
+_FM_SQL = "[" + ", ".join(f"'{w}'" for w in FOREIGN_MARKERS) + "]"
+
+
+@register("search_not", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {_SQL_Q},
+h AS (SELECT q.query_id, m.doc_id, sum({sql_bm25()}) AS score
+      FROM q JOIN m USING (term) GROUP BY q.query_id, m.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM h
+WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE list_contains({_FM_SQL}, term))""")
+def search_not(spark, sf_dir):
+    """Q3: passage terms SHOULD, foreign function words MUST_NOT."""
+    idx = doc_index(spark, sf_dir)
+    should = _distinct_terms(spark, sf_dir)
+    queries = should.select("query_id").distinct()
+    markers = spark.createDataFrame([(w,) for w in FOREIGN_MARKERS], "term string")
+    must_not = queries.crossJoin(F.broadcast(markers))  # fixed 8 words per query
+    return _scored_out(search.boolean_search(idx, should=should, must_not=must_not))
+
+
+@register("min_should_match", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {_SQL_Q},
+nq AS (SELECT query_id, ceil(count(*) * 0.5)::BIGINT AS msm FROM q GROUP BY query_id),
+h AS (SELECT q.query_id, m.doc_id, sum({sql_bm25()}) AS score, count(*) AS hit
+      FROM q JOIN m USING (term) GROUP BY q.query_id, m.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM h JOIN nq USING (query_id) WHERE hit >= msm""")
+def min_should_match(spark, sf_dir):
+    """Q6: at least ceil(0.5 · n) of the distinct passage terms must match."""
+    idx = doc_index(spark, sf_dir)
+    should = _distinct_terms(spark, sf_dir)
+    msm = search.min_should_match_from_similarity(should, 0.5)
+    return _scored_out(search.boolean_search(idx, should=should, min_should_match=msm))
+
+
+@register("search_phrase", f"""WITH {SQL_INDEX.split('post AS')[0].rstrip().rstrip(',')},
+ph AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS off, len(t) AS plen
+       FROM (SELECT item_id AS query_id, {sql_std_tokens('text')} AS t FROM benchmark)),
+st AS (SELECT ph.query_id, toks.doc_id, toks.pos - ph.off AS start, count(DISTINCT ph.off) AS n, any_value(plen) AS plen
+       FROM ph JOIN toks USING (term) GROUP BY ph.query_id, toks.doc_id, toks.pos - ph.off)
+SELECT query_id, doc_id, count(*)::BIGINT AS freq FROM st WHERE n = plen GROUP BY query_id, doc_id""")
+def search_phrase(spark, sf_dir):
+    """Q4: each whole benchmark passage as an exact phrase; phrase frequency per document."""
+    idx = doc_index(spark, sf_dir, positions=True)
+    ph = tokenize(tbl(spark, sf_dir, "benchmark"), "text", "item_id").select(
+        F.col("doc_id").alias("query_id"), F.col("pos").alias("offset"), "term")
+    return search.phrase_search(idx, ph).select("query_id", "doc_id", F.col("freq").cast("long"))
+
+
+@register("topk", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
+scored AS (SELECT qt.query_id, m.doc_id, sum(qt.qtf * ({sql_bm25()})) AS score
+           FROM qt JOIN m USING (term) GROUP BY qt.query_id, m.doc_id),
+summ AS (SELECT query_id, count(*)::BIGINT AS total_hits, round(max(score), 6) AS max_score FROM scored GROUP BY query_id)
+SELECT query_id, doc_id, round(score, 6) AS score, rank, total_hits, max_score
+FROM {sql_topk('scored', 5)} JOIN summ USING (query_id)""")
+def topk(spark, sf_dir):
+    """Q10: top-5 with total hits and max score per query."""
+    idx = doc_index(spark, sf_dir)
+    scored = search.score(idx, bench_terms(spark, sf_dir), "bm25")
+    best = search.top_k(scored, 5)
+    summ = search.hit_summary(scored)
+    return best.join(summ, "query_id").select(
+        "query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"),
+        F.col("total_hits").cast("long"), r6("max_score").alias("max_score"))
+
+
+@register("explain_bm25", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
+scored AS (SELECT qt.query_id, m.doc_id, sum(qt.qtf * ({sql_bm25()})) AS score
+           FROM qt JOIN m USING (term) GROUP BY qt.query_id, m.doc_id),
+best AS (SELECT query_id, doc_id FROM {sql_topk('scored', 3)})
+SELECT qt.query_id, m.doc_id, m.term, m.tf::BIGINT AS tf, m.df::BIGINT AS df,
+       round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf,
+       round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS tf_norm,
+       round(qt.qtf * ({sql_bm25()}), 6) AS contribution
+FROM qt JOIN m USING (term) JOIN best ON best.query_id = qt.query_id AND best.doc_id = m.doc_id""")
+def explain_bm25(spark, sf_dir):
+    """Q11: per-term BM25 explanation of each query's top-3 hits."""
+    idx = doc_index(spark, sf_dir)
+    qt = bench_terms(spark, sf_dir)
+    best = search.top_k(search.score(idx, qt, "bm25"), 3)
+    e = search.explain(idx, qt, best)
+    return e.select("query_id", "doc_id", "term", F.col("tf").cast("long"), F.col("df").cast("long"),
+                    r6("idf").alias("idf"), r6("tf_norm").alias("tf_norm"), r6("contribution").alias("contribution"))
