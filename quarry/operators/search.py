@@ -46,7 +46,8 @@ def score(index: Index, qterms: DataFrame, similarity: str = "bm25", **params) -
 def top_k(scored: DataFrame, k: int, score_col: str = "score", group_col: str = "query_id",
           id_col: str = "doc_id", rank_col: str = "rank") -> DataFrame:
     """Q10: best ``k`` per group, ties broken by id, rank 1-based."""
-    w = Window.partitionBy(group_col).orderBy(F.col("_s").desc(), F.col(id_col).asc())
+    groups = [group_col] if isinstance(group_col, str) else list(group_col)
+    w = Window.partitionBy(*groups).orderBy(F.col("_s").desc(), F.col(id_col).asc())
     return (scored.withColumn("_s", F.round(F.col(score_col), SCORE_DIGITS))
             .withColumn(rank_col, F.row_number().over(w))
             .filter(F.col(rank_col) <= k).drop("_s"))

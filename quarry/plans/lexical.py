@@ -173,3 +173,76 @@ def explain_bm25(spark, sf_dir):
     e = search.explain(idx, qt, best)
     return e.select("query_id", "doc_id", "term", F.col("tf").cast("long"), F.col("df").cast("long"),
                     r6("idf").alias("idf"), r6("tf_norm").alias("tf_norm"), r6("contribution").alias("contribution"))
+
+
+# ---- tf-idf vectors, cosine, multi-ranker (R6–R9, R12) ---------------------
+from quarry.functions import vectors as VX  # noqa: E402
+from quarry.operators import ranking  # noqa: E402
+from quarry.operators.vectors_agg import vector_sum  # noqa: E402
+
+SQL_TFIDF = "w AS (SELECT doc_id, term, 1 + ln(tf) * ln(n_docs / df) AS weight FROM m)"
+
+
+@register("tfidf_weight", f"""WITH {SQL_INDEX}, {SQL_TFIDF}
+SELECT doc_id, term, round(weight, 6) AS weight FROM w""")
+def tfidf_weight(spark, sf_dir):
+    """``1 + ln(tf) · ln(N/df)`` for every posting."""
+    return ranking.tfidf_long(doc_index(spark, sf_dir)).select("doc_id", "term", r6("weight").alias("weight"))
+
+
+@register("tfidf_vectors", f"""WITH {SQL_INDEX}, {SQL_TFIDF}
+SELECT doc_id, count(*)::BIGINT AS nnz, round(sqrt(sum(weight * weight)), 6) AS norm,
+       round(sum(weight), 6) AS total FROM w GROUP BY doc_id""")
+def tfidf_vectors(spark, sf_dir):
+    """Sparse tf-idf document vectors summarised as (nnz, L2 norm, sum)."""
+    w = ranking.tfidf_long(doc_index(spark, sf_dir))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("nnz"),
+                                   r6(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("norm"),
+                                   r6(F.sum("weight")).alias("total"))
+
+
+@register("cosine_sim", """
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(v) AS c FROM e GROUP BY label, i)
+SELECT vec_id, label::BIGINT AS label, round(sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 6) AS cosine
+FROM e JOIN c USING (label, i) GROUP BY vec_id, label""")
+def cosine_sim(spark, sf_dir):
+    """Cosine of every embedding with its label's centroid."""
+    e = tbl(spark, sf_dir, "embeddings")
+    cent = vector_sum(e, ["label"], "embedding", mean=True, out="centroid")
+    return (e.join(cent, "label")  # centroids: one row per label, joined by key
+            .select("vec_id", F.col("label").cast("long"), r6(VX.cosine("embedding", "centroid")).alias("cosine")))
+
+
+@register("rank_cosine_tfidf", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {SQL_TFIDF},
+dn AS (SELECT doc_id, sqrt(sum(weight * weight)) AS dnorm FROM w GROUP BY doc_id),
+qv AS (SELECT q.query_id, q.term, 1 + ln(ts.cf) * ln(fs.n_docs / ts.df) AS qw
+       FROM (SELECT DISTINCT query_id, term FROM qt) q JOIN ts USING (term) CROSS JOIN fs),
+qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qv GROUP BY query_id),
+dots AS (SELECT qv.query_id, w.doc_id, sum(qw * weight) AS dot FROM qv JOIN w USING (term) GROUP BY 1, 2),
+scored AS (SELECT query_id, doc_id, dot / (qnorm * dnorm) AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id))
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {sql_topk('scored', K)}""")
+def rank_cosine_tfidf(spark, sf_dir):
+    """Cosine between the query's cf-based tf-idf vector and document tf-idf vectors."""
+    hits = ranking.rank_cosine_tfidf(doc_index(spark, sf_dir), bench_terms(spark, sf_dir), K)
+    return hits.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"))
+
+
+_RANKER_SQL = {"bm25": sql_bm25(), "classic": sql_classic(), "lm_jm": sql_lm_jm(),
+               "lm_dirichlet": sql_lm_dirichlet()}
+_MULTI_UNION = " UNION ALL ".join(
+    f"SELECT qt.query_id, m.doc_id, '{n}' AS ranker, sum(qt.qtf * ({e})) AS score FROM qt JOIN m USING (term) "
+    f"GROUP BY qt.query_id, m.doc_id" for n, e in _RANKER_SQL.items())
+
+
+@register("multi_ranker", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
+scored AS ({_MULTI_UNION}),
+mx AS (SELECT query_id, ranker, round(max(score), 6) AS max_score FROM scored GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ranker ORDER BY round(score, 9) DESC, doc_id) AS rank
+         FROM scored) WHERE rank <= 3)
+SELECT query_id, ranker, doc_id, round(score, 6) AS score, rank, max_score FROM best JOIN mx USING (query_id, ranker)""")
+def multi_ranker(spark, sf_dir):
+    """Four rankers from one postings join, top-3 each with max score."""
+    r = ranking.multi_rank(doc_index(spark, sf_dir), bench_terms(spark, sf_dir), k=3)
+    return r.select("query_id", "ranker", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"),
+                    r6("max_score").alias("max_score"))
