@@ -117,6 +117,19 @@ class Index:
         return cls(r(f"{path}/postings"), r(f"{path}/doc_lengths"), r(f"{path}/term_stats"),
                    r(f"{path}/field_stats"), analyzer)
 
+    def stats(self) -> dict:
+        """The one-row field statistics as driver scalars (n_docs, sum_ttf, avgdl)."""
+        if getattr(self, "_stats", None) is None:
+            r = self.field_stats.first()
+            self._stats = {"n_docs": float(r["n_docs"] or 0), "sum_ttf": float(r["sum_ttf"] or 0),
+                           "avgdl": float(r["avgdl"] or 0.0)}
+        return self._stats
+
+    def with_stats(self, df: DataFrame, names=("n_docs", "sum_ttf", "avgdl")) -> DataFrame:
+        """Attach field statistics as literal columns (no join)."""
+        st = self.stats()
+        return df.select("*", *[F.lit(st[n]).alias(n) for n in names])
+
     def unpersist(self) -> None:
         for d in (self.postings, self.doc_lengths, self.term_stats, self.field_stats):
             d.unpersist()

@@ -30,7 +30,7 @@ def term_matches(index: Index, qterms: DataFrame, extra_cols=()) -> DataFrame:
     """
     qt = checked_broadcast(qterms)
     qs = qt.join(index.term_stats, "term")  # rows <= query terms: unique term key
-    qs = F.broadcast(qs.crossJoin(F.broadcast(index.field_stats)))  # field_stats: one row
+    qs = F.broadcast(index.with_stats(qs))
     cols = ["doc_id", "term", "tf", "dl", *extra_cols]
     return index.postings.select(*cols).join(qs, "term")
 

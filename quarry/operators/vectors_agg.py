@@ -23,8 +23,9 @@ def assemble(long_df: DataFrame, keys, value_col: str = "value", out: str = "vec
         F.transform(F.sort_array(F.collect_list(F.struct("dim", value_col))), lambda s: s[value_col]).alias(out))
 
 
-def vector_sum(df: DataFrame, keys, vec_col: str, weight=None, mean: bool = False, out: str = "vector") -> DataFrame:
-    """Weighted element-wise sum (or mean) of ``vec_col`` per key."""
+def vector_sum_long(df: DataFrame, keys, vec_col: str, weight=None, mean: bool = False,
+                    out: str = "vector") -> DataFrame:
+    """Weighted element-wise sum (or mean) by exploding to ``(key, dim)`` rows."""
     keys = list(keys)
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     x = df.select(*keys, w.cast("double").alias("_w"), F.posexplode(vec_col).alias("dim", "value"))
@@ -32,3 +33,21 @@ def vector_sum(df: DataFrame, keys, vec_col: str, weight=None, mean: bool = Fals
     if mean:
         agg = agg / F.sum("_w")
     return assemble(x.groupBy(*keys, "dim").agg(agg.alias("value")), keys, "value", out)
+
+
+def vector_sum(df: DataFrame, keys, vec_col: str, weight=None, mean: bool = False,
+               out: str = "vector") -> DataFrame:
+    """Weighted element-wise sum (or weighted mean) of ``vec_col`` per key.
+
+    Uses MLlib's ``Summarizer`` (a JVM aggregate with a partial step of width
+    ``d`` per key and partition), so a hot key never gathers its rows in one
+    task. Returns ``array<double>``.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    keys = list(keys)
+    w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    v = array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double")))
+    metric = Summarizer.mean(v, w.cast("double")) if mean else Summarizer.sum(v, w.cast("double"))
+    return df.groupBy(*keys).agg(vector_to_array(metric).alias(out))

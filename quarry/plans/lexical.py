@@ -106,9 +106,8 @@ def search_not(spark, sf_dir):
     """Q3: passage terms SHOULD, foreign function words MUST_NOT."""
     idx = doc_index(spark, sf_dir)
     should = _distinct_terms(spark, sf_dir)
-    queries = should.select("query_id").distinct()
-    markers = spark.createDataFrame([(w,) for w in FOREIGN_MARKERS], "term string")
-    must_not = queries.crossJoin(F.broadcast(markers))  # fixed 8 words per query
+    must_not = should.select("query_id").distinct().select(
+        "query_id", F.explode(F.array(*[F.lit(w) for w in FOREIGN_MARKERS])).alias("term"))
     return _scored_out(search.boolean_search(idx, should=should, must_not=must_not))
 
 

@@ -229,10 +229,10 @@ SELECT count(*)::BIGINT AS n_docs, sum(dl)::BIGINT AS sum_ttf, round(sum(dl) / c
 def field_stats(spark, sf_dir):
     """Collection statistics (with vocabulary size)."""
     idx = doc_index(spark, sf_dir)
-    n_terms = idx.term_stats.agg(F.count(F.lit(1)).alias("n_terms"))
-    return idx.field_stats.crossJoin(n_terms).select(
+    n_terms = idx.term_stats.count()
+    return idx.field_stats.select(
         F.col("n_docs").cast("long"), F.col("sum_ttf").cast("long"), r6("avgdl").alias("avgdl"),
-        F.col("n_terms").cast("long"))
+        F.lit(n_terms).cast("long").alias("n_terms"))
 
 
 @register("doc_length", SQL_POSTINGS + """
