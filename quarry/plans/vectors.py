@@ -170,3 +170,230 @@ def nearest_words(spark, sf_dir):
     r = top_k(r, 5, score_col="similarity", id_col="word")
     return r.select(F.col("query_id").alias("query_word"), F.col("word").alias("neighbour"),
                     r6("similarity").alias("similarity"), F.col("rank").cast("long"))
+
+
+# ---- projection, translation, PCA, clustering, histograms ------------------
+import numpy as np  # noqa: E402
+
+from quarry.functions import text as TX  # noqa: E402
+from quarry.operators import docvec  # noqa: E402
+from quarry.operators import search as S  # noqa: E402
+from quarry.session import checked_broadcast  # noqa: E402
+
+
+def _halves(wv):
+    return wv.select("word", F.slice("vector", 1, 32).alias("src"), F.slice("vector", 33, 32).alias("tgt"))
+
+
+@register("translation_matrix")
+def translation_matrix(spark, sf_dir):
+    """V9: least-squares map from the first 32 dims (source space) to the last
+    32 (target space) over the word-vector dictionary; W as (row, col, value)."""
+    W = V.translation_matrix(_halves(word_vectors(spark, sf_dir)))
+    rows = [(int(i), int(j), float(W[i, j])) for i in range(W.shape[0]) for j in range(W.shape[1])]
+    return spark.createDataFrame(rows, "row long, col long, value double")
+
+
+@register("translate_words")
+def translate_words(spark, sf_dir):
+    """Project every benchmark word's source vector and return the 3
+    nearest target-space words (cosine); OOV words give no rows."""
+    h = _halves(word_vectors(spark, sf_dir))
+    W = V.translation_matrix(h)
+    q = (bench_terms(spark, sf_dir).select(F.col("term").alias("word")).distinct().join(h, "word"))
+    q = V.project(q, "src", W, out="qvec").select(F.col("word").alias("query_id"), "qvec")
+    r = V.knn(h.select("word", F.col("tgt").alias("vector")), q, k=3, metric="cosine", id_col="word", vec_col="vector")
+    return r.select(F.col("query_id").alias("source_word"), F.col("word").alias("translation"),
+                    r6("similarity").alias("score"), F.col("rank").cast("long"))
+
+
+def _nearest_other(spark, sf_dir, words_df, k=1):
+    wv = word_vectors(spark, sf_dir)
+    q = words_df.join(wv, "word").select(F.col("word").alias("query_id"), F.col("vector").alias("qvec"))
+    r = V.knn(wv, q, k=k + 1, metric="cosine", id_col="word", vec_col="vector")
+    r = r.filter(F.col("query_id") != F.col("word"))
+    return top_k(r, k, score_col="similarity", id_col="word")
+
+
+SQL_NN1 = """
+qw AS (SELECT DISTINCT term AS word FROM qt),
+nn AS (SELECT q.word AS src, w2.word AS dst, list_cosine_similarity(w1.vector, w2.vector) AS sim
+       FROM qw q JOIN wv w1 ON w1.word = q.word JOIN wv w2 ON w2.word <> q.word),
+tr AS (SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS r FROM nn) WHERE r = 1)"""
+
+
+@register("translate_text", f"""WITH {SQL_BENCH_TERMS}, {SQL_WV}, {SQL_NN1},
+tk AS (SELECT item_id AS query_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos
+       FROM (SELECT item_id, {sql_std_tokens('text')} AS t FROM benchmark))
+SELECT query_id, string_agg(coalesce(tr.dst, tk.term), ' ' ORDER BY pos) AS translation, round(avg(tr.sim), 6) AS score
+FROM tk LEFT JOIN tr ON tr.src = tk.term GROUP BY query_id""")
+def translate_text(spark, sf_dir):
+    """Token-wise top-1 translation (nearest other word), joined in order;
+    OOV tokens pass through; score = mean of the known tokens' scores."""
+    toks = tokenize(tbl(spark, sf_dir, "benchmark"), "text", "item_id")
+    tr = _nearest_other(spark, sf_dir, toks.select(F.col("term").alias("word")).distinct(), 1).select(
+        F.col("query_id").alias("term"), F.col("word").alias("dst"), F.col("similarity").alias("sim"))
+    j = toks.join(tr, "term", "left")
+    return j.groupBy(F.col("doc_id").alias("query_id")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("dst", "term").alias("w")))),
+                                 lambda s: s["w"]), " ").alias("translation"),
+        r6(F.avg("sim")).alias("score"))
+
+
+@register("expand_synonyms", f"""WITH {SQL_BENCH_TERMS}, {SQL_WV},
+qw AS (SELECT DISTINCT term AS word FROM qt),
+nn AS (SELECT q.word AS src, w2.word AS dst, list_cosine_similarity(w1.vector, w2.vector) AS sim
+       FROM qw q JOIN wv w1 ON w1.word = q.word JOIN wv w2 ON w2.word <> q.word),
+syn AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS r FROM nn)
+        WHERE r <= 2 AND sim >= 0.3),
+tk AS (SELECT item_id AS query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos
+       FROM (SELECT item_id, {sql_std_tokens('text')} AS t FROM benchmark))
+SELECT query_id, pos::BIGINT AS pos, term, 'word' AS type FROM tk
+UNION ALL SELECT query_id, pos::BIGINT AS pos, syn.dst AS term, 'SYNONYM' AS type FROM tk JOIN syn ON syn.src = tk.term""")
+def expand_synonyms(spark, sf_dir):
+    """Every token followed by up to 2 similar words (cosine >= 0.3) at the
+    same position, typed SYNONYM."""
+    toks = tokenize(tbl(spark, sf_dir, "benchmark"), "text", "item_id").withColumnRenamed("doc_id", "query_id")
+    syn = _nearest_other(spark, sf_dir, toks.select(F.col("term").alias("word")).distinct(), 2).filter(
+        F.col("similarity") >= 0.3).select(F.col("query_id").alias("term"), F.col("word").alias("syn"))
+    orig = toks.select("query_id", F.col("pos").cast("long"), "term", F.lit("word").alias("type"))
+    syns = toks.join(syn, "term").select("query_id", F.col("pos").cast("long"), F.col("syn").alias("term"),
+                                         F.lit("SYNONYM").alias("type"))
+    return orig.unionByName(syns)
+
+
+@register("similar_strings", f"""WITH {SQL_BENCH_TERMS}, {SQL_WV},
+bg AS (SELECT word, bigram, count(*) AS c FROM (SELECT word, substr(word, i, 2) AS bigram
+       FROM (SELECT word, unnest(range(1, length(word))) AS i FROM wv)) GROUP BY word, bigram),
+qw AS (SELECT DISTINCT term AS word FROM qt),
+qb AS (SELECT word, bigram, count(*) AS c FROM (SELECT word, substr(word, i, 2) AS bigram
+       FROM (SELECT word, unnest(range(1, length(word))) AS i FROM qw)) GROUP BY word, bigram),
+bn AS (SELECT word, sqrt(sum(c * c)) AS n FROM bg GROUP BY word),
+qn AS (SELECT word, sqrt(sum(c * c)) AS n FROM qb GROUP BY word),
+s AS (SELECT qb.word AS query_word, bg.word AS similar_word, sum(qb.c * bg.c) AS dot
+      FROM qb JOIN bg USING (bigram) WHERE bg.word <> qb.word GROUP BY qb.word, bg.word),
+c AS (SELECT query_word, similar_word, dot / (qn.n * bn.n) AS similarity FROM s JOIN qn ON qn.word = s.query_word JOIN bn ON bn.word = s.similar_word),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_word ORDER BY round(similarity, 9) DESC, similar_word) AS rank
+      FROM c WHERE similarity >= 0.5)
+SELECT query_word, similar_word, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def similar_strings(spark, sf_dir):
+    """Vocabulary words whose character-bigram cosine with a benchmark
+    word is >= 0.5 (top-5). Bigram 'postings' of the vocabulary are joined with
+    the (broadcast) query bigrams, like a text search over characters."""
+    from quarry.operators.lexicon import similar_by_bigrams
+
+    wv = word_vectors(spark, sf_dir).select("word")
+    q = bench_terms(spark, sf_dir).select(F.col("term").alias("word")).distinct()
+    r = similar_by_bigrams(q, wv, threshold=0.5, k=5)
+    return r.select("query_word", F.col("similar").alias("similar_word"), r6("similarity").alias("similarity"), F.col("rank").cast("long"))
+
+
+@register("pca_reduce")
+def pca_reduce(spark, sf_dir):
+    """Standardised embeddings projected on 8 principal components (long form)."""
+    out, _ = V.pca_fit_transform(tbl(spark, sf_dir, "embeddings"), "embedding", 8)
+    return _long(out, "vec_id", "pca")
+
+
+@register("ppa_postprocess")
+def ppa_postprocess(spark, sf_dir):
+    """Mean removed and the top-2 principal directions projected out."""
+    out, _ = V.remove_top_components(tbl(spark, sf_dir, "embeddings"), "embedding", 2)
+    return _long(out, "vec_id", "post")
+
+
+@register("kmeans_codebook")
+def kmeans_codebook(spark, sf_dir):
+    """K-means (k=8, 15 iterations) over the 8-dim local features of every embedding."""
+    feats = _local_features(spark, sf_dir)
+    assigned, _ = V.kmeans_codebook(feats, "feature", k=8, max_iter=15)
+    return assigned.select("vec_id", F.col("chunk").cast("long"), F.col("cluster").cast("long"))
+
+
+def _local_features(spark, sf_dir):
+    e = tbl(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(
+        j.alias("chunk"), F.slice("embedding", j * 8 + 1, 8).alias("feature")))).alias("f")).select(
+        "vec_id", "f.chunk", VX.to_double("f.feature").alias("feature"))
+
+
+@register("bovw_histogram", """
+WITH ex AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+f AS (SELECT vec_id, i // 8 AS chunk, i % 8 AS p, v FROM ex),
+cb AS (SELECT chunk AS cluster, p, avg(v) AS c FROM f GROUP BY chunk, p),
+d AS (SELECT f.vec_id, f.chunk, cb.cluster, sum((f.v - cb.c) * (f.v - cb.c)) AS d2 FROM f JOIN cb USING (p)
+      GROUP BY f.vec_id, f.chunk, cb.cluster),
+a AS (SELECT vec_id, chunk, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, chunk ORDER BY d2, cluster) AS r FROM d) WHERE r = 1)
+SELECT vec_id, cluster::BIGINT AS cluster, count(*)::BIGINT AS n FROM a GROUP BY vec_id, cluster""")
+def bovw_histogram(spark, sf_dir):
+    """Each embedding's 8 local features assigned to a fixed 8-word
+    codebook (the mean local feature of each chunk position); visual-word
+    counts per embedding."""
+    feats = _local_features(spark, sf_dir)
+    cb = vector_sum(feats, ["chunk"], "feature", mean=True, out="c").orderBy("chunk").collect()  # 8 rows
+    centers = np.array([r["c"] for r in cb])
+    a = V.nearest_centroid(feats, "feature", centers)
+    return a.groupBy("vec_id", F.col("cluster").cast("long").alias("cluster")).agg(
+        F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("color_histogram", """
+WITH px AS (SELECT vec_id, p, embedding[3 * p + 1]::DOUBLE AS r, embedding[3 * p + 2]::DOUBLE AS g, embedding[3 * p + 3]::DOUBLE AS b
+            FROM (SELECT vec_id, embedding, unnest(range(0, 21)) AS p FROM embeddings)),
+q AS (SELECT vec_id, least(3, greatest(0, floor((r + 0.3) / 0.15)))::BIGINT * 16
+                   + least(3, greatest(0, floor((g + 0.3) / 0.15)))::BIGINT * 4
+                   + least(3, greatest(0, floor((b + 0.3) / 0.15)))::BIGINT AS bin FROM px)
+SELECT vec_id, bin, round(count(*) / 21.0, 6) AS freq FROM q GROUP BY vec_id, bin""")
+def color_histogram(spark, sf_dir):
+    """21 (r, g, b) 'pixels' per embedding (consecutive dims), each channel
+    quantised to 4 levels, 64-bin normalised histogram (non-empty bins)."""
+    e = tbl(spark, sf_dir, "embeddings")
+
+    def level(x):
+        return F.least(F.lit(3), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.3) / 0.15))).cast("long")
+    px = e.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda p: (
+        level(F.element_at("embedding", p * 3 + 1)) * 16 + level(F.element_at("embedding", p * 3 + 2)) * 4
+        + level(F.element_at("embedding", p * 3 + 3))))).alias("bin"))
+    return px.groupBy("vec_id", "bin").agg(r6(F.count(F.lit(1)) / 21.0).alias("freq"))
+
+
+@register("word2vec_fit")
+def word2vec_fit(spark, sf_dir):
+    """V1: skip-gram word2vec over every document's standard tokens
+    (32 dims, window 5, min count 5, one pass); (word, norm) per vocabulary word."""
+    d = tbl(spark, sf_dir, "documents").select(TX.standard_tokens(F.col("text")).alias("tokens"))
+    wv, _ = docvec.train_word2vec(d, vector_size=32, min_count=5, max_iter=1)
+    return wv.select("word", VX.norm("vector").alias("norm"))
+
+
+def _doc_vectors(spark, sf_dir, docs_tokens):
+    wv = word_vectors(spark, sf_dir)
+    counts = doc_index(spark, sf_dir).term_stats.select(F.col("term").alias("word"), F.col("cf").alias("freq"))
+    neg = docvec.negative_table(wv, counts, size=1024)
+    return docvec.infer_doc_vectors(docs_tokens, wv, neg, dim=64, epochs=10)
+
+
+@register("doc_vectors")
+def doc_vectors(spark, sf_dir):
+    """V4: paragraph vectors inferred for every document against the frozen word vectors."""
+    toks = tokenize(tbl(spark, sf_dir, "documents")).select("doc_id", "term")
+    v = _doc_vectors(spark, sf_dir, toks)
+    return v.select("doc_id", VX.norm("vector").alias("norm"), F.size("vector").cast("long").alias("dim"))
+
+
+@register("rank_doc_embeddings")
+def rank_doc_embeddings(spark, sf_dir):
+    """BM25 top-10 hits of each benchmark passage re-scored by the cosine of
+    the inferred passage vector and the hit's inferred document vector."""
+    idx = doc_index(spark, sf_dir)
+    hits = S.rank(idx, bench_terms(spark, sf_dir), "bm25", 10)
+    hit_docs = hits.select("doc_id").distinct()
+    dtoks = tokenize(tbl(spark, sf_dir, "documents")).select("doc_id", "term").join(
+        checked_broadcast(hit_docs), "doc_id", "left_semi")
+    qtoks = tokenize(tbl(spark, sf_dir, "benchmark"), "text", "item_id").select("doc_id", "term")
+    dv = _doc_vectors(spark, sf_dir, dtoks).withColumnRenamed("vector", "dvec")
+    qv = _doc_vectors(spark, sf_dir, qtoks).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvec"))
+    s = hits.select("query_id", "doc_id").join(dv, "doc_id").join(qv, "query_id").select(
+        "query_id", "doc_id", VX.cosine("qvec", "dvec").alias("score"))
+    r = top_k(s, 10)
+    return r.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"))
