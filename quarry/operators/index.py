@@ -35,7 +35,10 @@ def tokenize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     cols = [F.col("doc_id")]
     if keep_dl:
         cols.append(F.size("_toks").alias("dl"))
-    return toks.select(*cols, F.posexplode("_toks").alias("pos", "term"))
+    # explode_outer + null filter: a plain explode makes the optimizer infer a
+    # size(...) > 0 filter that re-runs the analyser below the projection.
+    return (toks.select(*cols, F.posexplode_outer("_toks").alias("pos", "term"))
+            .filter(F.col("pos").isNotNull()))
 
 
 def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",

@@ -11,9 +11,9 @@ from quarry.session import checked_broadcast
 
 def bigrams(words: DataFrame, col: str = "word") -> DataFrame:
     """``(word, bigram, c)``: character bigram counts per word."""
-    b = words.select(col, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))),
+    b = words.select(col, F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))),
                                                 lambda i: F.substring(F.col(col), i, 2))).alias("bigram"))
-    b = b.filter(F.length("bigram") == 2)
+    b = b.filter(F.length("bigram") == 2)  # also drops the null row of explode_outer
     return b.groupBy(col, "bigram").agg(F.count(F.lit(1)).alias("c"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def explode_vector(df: DataFrame, vec_col: str, keep=()) -> DataFrame:
-    return df.select(*keep, F.posexplode(vec_col).alias("dim", "value"))
+    return df.select(*keep, F.posexplode_outer(vec_col).alias("dim", "value")).filter(F.col("dim").isNotNull())
 
 
 def assemble(long_df: DataFrame, keys, value_col: str = "value", out: str = "vector") -> DataFrame:
@@ -28,7 +28,8 @@ def vector_sum_long(df: DataFrame, keys, vec_col: str, weight=None, mean: bool =
     """Weighted element-wise sum (or mean) by exploding to ``(key, dim)`` rows."""
     keys = list(keys)
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    x = df.select(*keys, w.cast("double").alias("_w"), F.posexplode(vec_col).alias("dim", "value"))
+    x = (df.select(*keys, w.cast("double").alias("_w"), F.posexplode_outer(vec_col).alias("dim", "value"))
+         .filter(F.col("dim").isNotNull()))
     agg = F.sum(F.col("value").cast("double") * F.col("_w"))
     if mean:
         agg = agg / F.sum("_w")

@@ -194,7 +194,7 @@ FROM (SELECT unnest({sql_std_tokens('text')}) AS term FROM documents) GROUP BY t
 def term_freq(spark, sf_dir):
     """Collection term frequencies (partial aggregation before the shuffle)."""
     d = tbl(spark, sf_dir, "documents")
-    return (d.select(F.explode(T.standard_tokens(F.col("text"))).alias("term"))
+    return (d.select(F.explode_outer(T.standard_tokens(F.col("text"))).alias("term")).filter(F.col("term").isNotNull())
             .groupBy("term").agg(F.count(F.lit(1)).alias("freq")))
 
 

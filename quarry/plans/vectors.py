@@ -50,7 +50,7 @@ def centroids(spark, sf_dir):
 
 
 def _long(df, key, vec):
-    return df.select(key, F.posexplode(vec).alias("dim", "value")).select(
+    return df.select(key, F.posexplode_outer(vec).alias("dim", "value")).filter(F.col("dim").isNotNull()).select(
         key, F.col("dim").cast("long"), r6("value").alias("value"))
 
 

@@ -29,6 +29,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # explode() otherwise gets an inferred size(...) > 0 filter pushed below
+         # the projection, which re-evaluates analysers per row (see tokenize)
+         .config("spark.sql.optimizer.excludedRules",
+                 "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate")
          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
          .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
