@@ -29,8 +29,9 @@ def term_matches(index: Index, qterms: DataFrame, extra_cols=()) -> DataFrame:
     Output: query_id, doc_id, term, qtf, tf, dl, df, cf, n_docs, sum_ttf, avgdl (+extra).
     """
     qt = checked_broadcast(qterms)
-    qs = qt.join(index.term_stats, "term")  # rows <= query terms: unique term key
-    qs = F.broadcast(index.with_stats(qs))
+    qs = index.with_stats(qt.join(index.term_stats, "term"))  # rows <= query terms: unique term key
+    if qt is not qterms:  # the query side passed the size check, so does qs
+        qs = F.broadcast(qs)
     cols = ["doc_id", "term", "tf", "dl", *extra_cols]
     return index.postings.select(*cols).join(qs, "term")
 
