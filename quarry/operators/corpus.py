@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import checked_broadcast, cut_lineage
 
 UNK, EOS, GO = "<unk>", "<eos>", "<go>"
 
@@ -56,24 +56,37 @@ def build_vocab(term_counts: DataFrame, max_size: int, reserved=(UNK, EOS, GO))
     return head.unionByName(ids.select("word", "id", F.col("freq").cast("long")))
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, row_size: int = 40, key: str = "line_id") -> DataFrame:
+def encode(tokens: DataFrame, vocab: DataFrame, row_size: int = 40, key="line_id") -> DataFrame:
     """Ids of the first ``row_size - 1`` tokens, unknown → 0.
 
-    ``tokens(key, pos, word)``; output ``(key, ids array<int>)``. The vocabulary
-    is joined by word (shuffle or broadcast as AQE sizes it).
+    ``tokens(*key, pos, word)``; output ``(*key, ids array<int>)``. The
+    vocabulary is joined by word (broadcast only behind its size check).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     t = tokens.filter(F.col("pos") < row_size - 1)
-    j = t.join(vocab.select("word", "id"), "word", "left").withColumn("id", F.coalesce("id", F.lit(0)))
-    return j.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))),
-                                          lambda s: s["id"]).alias("ids"))
-
-
-def decode(ids: DataFrame, vocab: DataFrame, key: str = "line_id") -> DataFrame:
-    """``(key, ids)`` back to words joined by blanks."""
-    e = ids.select(key, F.posexplode("ids").alias("pos", "id"))
-    j = e.join(vocab.select("word", "id"), "id", "left")
-    return j.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))),
-                                                       lambda s: s["word"]), " ").alias("text"))
+    j = t.join(checked_broadcast(vocab.select("word", "id")), "word", "left").withColumn(
+        "id", F.coalesce("id", F.lit(0)))
+    return j.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))),
+                                            lambda s: s["id"]).alias("ids"))
+
+
+def encode_lines(lines: DataFrame, tokens_col, vocab: DataFrame, key, row_size: int = 40) -> DataFrame:
+    """T2 over a line table: ``(*key, ids)`` for every line, empty lines → ``[]``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    toks = lines.select(*keys, F.posexplode(tokens_col).alias("pos", "word"))
+    enc = encode(toks, vocab, row_size, keys)
+    return lines.select(*keys).join(enc, keys, "left").select(
+        *keys, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def decode(ids: DataFrame, vocab: DataFrame, key="line_id") -> DataFrame:
+    """``(*key, ids)`` back to words joined by blanks."""
+    keys = [key] if isinstance(key, str) else list(key)
+    e = ids.select(*keys, F.posexplode("ids").alias("pos", "id"))
+    j = e.join(checked_broadcast(vocab.select("word", "id")), "id", "left")
+    d = j.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))),
+                                                      lambda s: s["word"]), " ").alias("text"))
+    return ids.select(*keys).join(d, keys, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def seq2seq_rows(src_ids, tgt_ids, eos: int = 1, go: int = 2):
