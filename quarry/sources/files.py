@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,13 +56,13 @@ def embedding_lines(vectors: DataFrame, label_col: str = "label", vec_col: str =
     return vectors.select(F.concat_ws(" ", lab, vals).alias("value"))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def decode_vectors(b: pd.Series) -> pd.Series:
     """Big-endian float64 bytes → double array (Arrow batches)."""
     return b.map(lambda x: None if x is None else np.frombuffer(x, dtype=">f8").astype(np.float64))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def encode_vectors(v: pd.Series) -> pd.Series:
     """Writer side of S10: double array → big-endian float64 bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, dtype=">f8").tobytes())
