@@ -161,3 +161,23 @@ def explain(index: Index, qterms: DataFrame, hits: DataFrame, k1: float = 1.2, b
 def fetch(hits: DataFrame, docs: DataFrame, cols, id_col: str = "doc_id") -> DataFrame:
     """Q12: late materialisation of stored fields for (bounded) hits."""
     return docs.select(F.col(id_col).alias("doc_id"), *cols).join(checked_broadcast(hits), "doc_id")
+
+
+def clause_search(index: Index, clauses: DataFrame, similarity: str = "bm25", **params) -> DataFrame:
+    """Q7–Q9: boolean query of *sub-queries*. ``clauses(query_id, clause_id,
+    must, term, qtf)``: a clause matches a document when any of its terms
+    does; a document must match every MUST clause (``must = 1``) and, when a
+    query has no MUST clause, at least one SHOULD clause. Score = Σ over
+    matching clauses of Σ qtf · similarity. Output ``(query_id, doc_id, score)``."""
+    qt = clauses.groupBy("query_id", "term").agg(F.lit(1).alias("qtf"))
+    m = term_matches(index, qt).select("query_id", "doc_id", "term", (similarity_expr(similarity, **params))
+                                       .alias("s"))
+    cl = checked_broadcast(clauses.select("query_id", "clause_id", "must", "term", "qtf"))
+    per_clause = (m.join(cl, ["query_id", "term"]).groupBy("query_id", "doc_id", "clause_id", "must")
+                  .agg(F.sum(F.col("qtf") * F.col("s")).alias("s")))
+    docs = per_clause.groupBy("query_id", "doc_id").agg(
+        F.sum("s").alias("score"), F.count_distinct(F.when(F.col("must") == 1, F.col("clause_id"))).alias("hm"))
+    need = clauses.groupBy("query_id").agg(
+        F.count_distinct(F.when(F.col("must") == 1, F.col("clause_id"))).alias("n_must"))
+    return (docs.join(checked_broadcast(need), "query_id")
+            .filter(F.col("hm") == F.col("n_must")).select("query_id", "doc_id", "score"))

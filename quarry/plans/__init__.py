@@ -15,6 +15,7 @@ _REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 PLAN_MODULES = (
     "lexical", "textual", "vectors", "lsh", "suggest", "related", "corpus", "sources_q", "streams",
+    "expansion",
 )
 
 
