@@ -94,3 +94,58 @@ def seq2seq_rows(src_ids, tgt_ids, eos: int = 1, go: int = 2):
     return [F.reverse(src_ids).alias("input"), F.concat(tgt_ids, F.array(F.lit(eos))).alias("target"),
             F.concat(F.array(F.lit(go)), tgt_ids).alias("decoder_input"),
             F.size(src_ids).alias("input_len"), (F.size(tgt_ids) + 1).alias("target_len")]
+
+
+def global_prefix_sum(df: DataFrame, key: str, value_col: str, out: str = "start",
+                      partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Exclusive running sum of ``value_col`` in ``key`` order over the whole
+    frame, plus the grand total. Works on the narrow ``(key, value)`` frame:
+    range partitions by key, per-partition totals (one row per partition) to
+    the driver, a within-partition running sum, then ``offset(partition)``."""
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.select(key, value_col).repartitionByRange(n, F.col(key))
+                         .withColumn("_pid", F.spark_partition_id()))
+    sums = sorted((r["_pid"], r["s"] or 0) for r in ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect())
+    off, acc = [], 0
+    for pid, s in sums:
+        off += [F.lit(pid), F.lit(acc)]
+        acc += s
+    base = F.create_map(*off) if off else F.create_map().cast("map<int,bigint>")
+    w = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    r = ranged.withColumn(out, F.coalesce(F.sum(value_col).over(w), F.lit(0)) + F.element_at(base, F.col("_pid")))
+    return r.select(key, out), acc
+
+
+def char_windows(docs: DataFrame, length: int, key: str = "doc_id", text_col: str = "text",
+                 seed: int = 12345) -> DataFrame:
+    """The texts, each followed by a newline, in ``key`` order form one
+    character stream; window ``i`` covers offsets ``[i·L, (i+1)·L)`` for
+    ``i < (N − 1) / L − 2`` and yields ``input`` = its first L−1 characters,
+    ``target`` = the L−1 characters after the first one. ``shuffle`` is a
+    seeded hash giving the example order.
+
+    Each document is cut into the pieces it contributes to each window
+    (array slices, linear in the text), pieces are grouped by window (≤ L
+    characters per group) and concatenated in offset order.
+    """
+    chars = docs.select(F.col(key).alias("_k"), F.split(F.concat(F.coalesce(F.col(text_col), F.lit("")),
+                                                                  F.lit("\n")), "").alias("_c"))
+    lens = chars.select("_k", F.size("_c").cast("long").alias("_n"))
+    starts, total = global_prefix_sum(lens, "_k", "_n", "_s")
+    n_windows = max((total - 1) // length - 2, 0)
+    c = chars.join(checked_broadcast(starts), "_k")
+    L = F.lit(length).cast("long")
+    first_w = F.floor(F.col("_s") / L)
+    last_w = F.least(F.floor((F.col("_s") + F.size("_c") - 1) / L), F.lit(n_windows - 1))
+    p = c.filter(first_w <= last_w).select("_c", "_s", F.explode(F.sequence(first_w, last_w)).alias("window_id"))
+    lo = F.greatest(F.col("window_id") * L - F.col("_s"), F.lit(0))  # 0-based first char of the piece
+    at = F.greatest(F.col("_s") - F.col("window_id") * L, F.lit(0))  # its offset inside the window
+    pieces = p.select("window_id", at.alias("at"), F.slice("_c", (lo + 1).cast("int"), (L - at).cast("int")).alias("piece"))
+    wins = pieces.groupBy("window_id").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])).alias("w"))
+    return wins.select(F.col("window_id").cast("long"), F.array_join(F.slice("w", 1, length - 1), "").alias("input"),
+                       F.array_join(F.slice("w", 2, length - 1), "").alias("target"),
+                       F.xxhash64(F.lit(seed), "window_id").alias("shuffle"))

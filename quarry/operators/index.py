@@ -144,3 +144,22 @@ def query_terms(queries: DataFrame, text_col: str = "text", id_col: str = "query
     return (tokenize(queries, text_col, id_col, analyzer)
             .withColumnRenamed("doc_id", "query_id")
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
+def random_queries(vocab: DataFrame, n_queries: int = 100, max_words: int = 4, seed: int = 42,
+                   word_col: str = "word", rank_col: str = "r") -> DataFrame:
+    """``n_queries`` queries of 1..``max_words`` vocabulary words drawn
+    with seeded hashes (deterministic under retries). ``vocab`` carries a
+    dense 1-based ``rank_col``; draws are joined to it by rank.
+    Output ``(query_id, text)``."""
+    spark = vocab.sparkSession
+    v = vocab.select(F.max(rank_col)).first()[0] or 0
+    if v == 0:
+        return spark.createDataFrame([], "query_id long, text string")
+    q = spark.range(n_queries).withColumnRenamed("id", "query_id")
+    n = (F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(max_words)) + 1).cast("int")
+    draws = q.select("query_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("j")).withColumn(
+        "rk", F.pmod(F.xxhash64(F.lit(seed), "query_id", "j"), F.lit(v)) + 1)
+    words = draws.join(vocab.select(F.col(rank_col).alias("rk"), F.col(word_col).alias("w")), "rk")
+    return words.groupBy("query_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("j", "w"))), lambda s: s["w"]), " ").alias("text"))

@@ -215,3 +215,21 @@ def interleave_pairs(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return p.select("conv_id", "turn", F.posexplode(F.array("source", "target")).alias("side", "line")).select(
         "conv_id", "turn", F.col("side").cast("int"), "line")
+
+
+WINDOW_LEN = 100
+
+_CF = ("a-zA-Z0-9" + T.regex_class_escape(T.CHAR_FILTER_EXTRA)).replace("'", "''")
+
+
+@register("char_windows", f"""WITH f AS (SELECT string_agg(regexp_replace(coalesce(text, ''), '[^{_CF}]', '', 'g') || chr(10), ''
+    ORDER BY doc_id) AS s FROM documents),
+n AS (SELECT s, length(s) AS n FROM f)
+SELECT i::BIGINT AS window_id, substr(s, i * {WINDOW_LEN} + 1, {WINDOW_LEN - 1}) AS input,
+       substr(s, i * {WINDOW_LEN} + 2, {WINDOW_LEN - 1}) AS target
+FROM n, range(0, greatest((n - 1) // {WINDOW_LEN} - 2, 0)) r(i)""")
+def char_windows(spark, sf_dir):
+    """Character-model training windows of 100 characters over the
+    filtered documents (77-character set), in doc_id order."""
+    d = tbl(spark, sf_dir, "documents").select("doc_id", T.char_filter(F.col("text")).alias("text"))
+    return C.char_windows(d, WINDOW_LEN).select("window_id", "input", "target")

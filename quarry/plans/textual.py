@@ -240,3 +240,32 @@ SELECT doc_id, count(*)::BIGINT AS dl FROM toks GROUP BY doc_id""")
 def doc_length(spark, sf_dir):
     """I4: token count per document (derived from the postings, no rescan)."""
     return doc_index(spark, sf_dir).doc_lengths.select("doc_id", F.col("dl").cast("long"))
+
+
+from quarry.sources.markup import CATEGORY_DROP_RE as SX_DROP  # noqa: E402
+from quarry.sources.markup import CATEGORY_RE as _CRE  # noqa: E402
+
+SX_CATEGORY_RE_SQL = _CRE.replace("'", "''")
+
+
+@register("gen_queries")
+def gen_queries(spark, sf_dir):
+    """100 queries of 1–4 words drawn (seeded) from the document vocabulary."""
+    from quarry.operators.corpus import global_ordinal
+    from quarry.operators.index import random_queries
+    from quarry.plans.common import doc_index
+
+    ts = doc_index(spark, sf_dir).term_stats.select(F.col("term").alias("word"), "cf")
+    ranked = global_ordinal(ts, [F.col("cf").desc(), F.col("word").asc()], out="r")
+    return random_queries(ranked, 100, 4)
+
+
+@register("extract_categories", f"""SELECT page_id, unnest(list_distinct(list_filter(flatten(list_transform(
+  regexp_extract_all(html, '{SX_CATEGORY_RE_SQL}', 1), lambda c: string_split(regexp_replace(c, '{SX_DROP}', '', 'g'), '|'))),
+  lambda c: c <> ''))) AS category FROM pages""")
+def extract_categories(spark, sf_dir):
+    """S3: category names found in the pages, one row per (page, category)."""
+    from quarry.sources.markup import categories
+
+    p = tbl(spark, sf_dir, "pages")
+    return p.select("page_id", F.explode(categories(F.col("html"))).alias("category"))
