@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import similarity as similarity_expr
 from quarry.operators.index import Index
-from quarry.session import checked_broadcast
+from quarry.session import checked_broadcast, cut_lineage
 
 SCORE_DIGITS = 9  # scores are ranked after rounding so ties do not depend on summation order
 
@@ -181,3 +181,53 @@ def clause_search(index: Index, clauses: DataFrame, similarity: str = "bm25", **
         F.count_distinct(F.when(F.col("must") == 1, F.col("clause_id"))).alias("n_must"))
     return (docs.join(checked_broadcast(need), "query_id")
             .filter(F.col("hm") == F.col("n_must")).select("query_id", "doc_id", "score"))
+
+
+def top_k_pruned(index: Index, qterms: DataFrame, k: int, post=None, common_df: int | None = None,
+                 similarity: str = "bm25", **params) -> DataFrame:
+    """Exact top-k per query without scoring every document of a common term.
+
+    Query terms split into *rare* (``df <= common_df``) and *common*. Only
+    documents matching a rare term are candidates; they are scored on all the
+    query's terms by an equi-join on ``(doc_id, term)`` (volume ≤ candidates ×
+    query terms). A document matching only common terms scores at most
+    ``UB(q) = Σ qtf · max_d contribution(t, d)`` over the common terms, so a
+    query whose k-th candidate score beats ``UB(q)`` is exact (MaxScore).
+    The remaining queries are scored in full. ``post`` filters scored
+    ``(query_id, doc_id, score)`` rows (self-exclusion, MUST clauses) in both
+    paths — filtering only removes documents, so the bound stays valid.
+    Output ``(query_id, doc_id, score, rank)``.
+    """
+    post = post or (lambda s: s)
+    n_docs = index.stats()["n_docs"]
+    cut = common_df if common_df is not None else max(1000, int(n_docs // 100))
+    qt = qterms.select("query_id", "term", "qtf").join(index.term_stats.select("term", "df"), "term")
+    rare = qt.filter(F.col("df") <= cut).drop("df")
+    common = qt.filter(F.col("df") > cut).drop("df")
+    contrib = similarity_expr(similarity, **params)
+
+    # per-term upper bound over the common terms' postings (one aggregation)
+    cterms = common.select("term").distinct().select(F.lit(0).alias("query_id"), "term", F.lit(1).alias("qtf"))
+    ub_t = term_matches(index, cterms).groupBy("term").agg(F.max(contrib).alias("ub"))
+    ub_q = common.join(ub_t, "term").groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("ub")).alias("ub_q"))
+
+    # candidates: documents holding a rare query term, scored on every query term
+    cand = term_matches(index, rare).select("query_id", "doc_id").distinct()
+    pairs = cand.join(qt.select("query_id", "term", "qtf"), "query_id")
+    st = index.with_stats(index.term_stats.select("term", "df", "cf"))
+    scored = (pairs.join(index.postings.select("doc_id", "term", "tf", "dl"), ["doc_id", "term"])
+              .join(st, "term")
+              .groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * contrib).alias("score")))
+    best = cut_lineage(top_k(post(scored), k))
+    kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    queries = qterms.select("query_id").distinct()
+    verdict = (queries.join(ub_q, "query_id", "left").join(kth, "query_id", "left")
+               .select("query_id", (F.col("ub_q").isNull()
+                                    | (F.round("kth", SCORE_DIGITS) > F.round("ub_q", SCORE_DIGITS))).alias("exact")))
+    exact_q = verdict.filter("exact").select("query_id")
+    rest_q = verdict.filter(~F.col("exact")).select("query_id")
+    fast = best.join(exact_q, "query_id", "left_semi")
+    rest_terms = qterms.join(rest_q, "query_id", "left_semi")
+    slow = top_k(post(score(index, rest_terms, similarity, **params).select("query_id", "doc_id", "score")), k)
+    return fast.select("query_id", "doc_id", "score", "rank").unionByName(
+        slow.select("query_id", "doc_id", "score", "rank"))
