@@ -7,11 +7,18 @@ An index over one text field is four DataFrames:
     term_stats(term, df, cf)                     collection statistics per term
     field_stats(n_docs, sum_ttf, avgdl)          one row
 
-The postings build is one hash aggregation keyed by (doc_id, term). All tokens
-of a document sit in the same input partition, so the partial (map-side)
-aggregate already collapses them to one row per posting before the shuffle;
-the shuffle carries the index, not the token stream. Hot terms do not skew it
-because the key includes the document. ``term_stats`` is a second aggregation
+The index is *document-partitioned*: the token stream is shuffled once by
+``doc_id`` and the (doc_id, term) aggregation runs inside those partitions with
+no second exchange (hash partitioning on ``doc_id`` satisfies the clustering on
+``(doc_id, term)``). Every posting of a document therefore lives in one
+partition, and a ranked query joined to the postings through a broadcast query
+side sums its scores by ``(query_id, doc_id)`` without any shuffle: each
+partition scores its own documents completely, a partial ``WindowGroupLimit``
+keeps its local best k per query, and only those rows are shuffled by
+``query_id``. Hot terms do not skew the build because the key is the
+document; one document is bounded by its own length. (Shuffling the tokens
+once measured faster than aggregating by ``(doc_id, term)`` and re-shuffling
+the postings by ``doc_id``.) ``term_stats`` is a second aggregation
 keyed by term whose partial step emits at most one row per term per partition,
 so a term in a third of all documents costs one row per partition to shuffle.
 """
@@ -49,7 +56,7 @@ def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     document has ``first_pos = 0``, which yields document lengths without a
     second pass over the text or another shuffle.
     """
-    toks = tokenize(docs, text_col, id_col, analyzer, keep_dl=True)
+    toks = tokenize(docs, text_col, id_col, analyzer, keep_dl=True).repartition("doc_id")
     aggs = [F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")]
     if with_positions:
         aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -144,18 +144,20 @@ def suggest_ngram(uni: DataFrame, bi: DataFrame, lookups: DataFrame, k: int = 3,
     return top_k(out, k, group_col="lookup_id", id_col="word")
 
 
-def char_ngrams(chars: Column, n: int) -> Column:
-    """All windows of n+1 code points (context of n characters + the next one)
-    of a character array; array indexing keeps this linear in the text length
-    (``substring`` on UTF-8 would rescan from the start for every offset)."""
-    return F.transform(F.sequence(F.lit(1), F.size(chars) - n),
-                       lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n + 1)]))
+def char_grams(text: Column, width: int) -> Column:
+    """All overlapping windows of ``width`` characters of a string, in order.
+
+    One regex pass with a capturing lookahead (``(?=(.{w}))``) — linear in the
+    text and code-generated, unlike per-offset ``substring`` (which rescans the
+    UTF-8 string from the start) or a lambda over a character array (which
+    runs interpreted). Texts shorter than ``width`` give an empty array.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{int(width)}}}))"), 1)
 
 
 def char_lm_counts(texts: DataFrame, n: int = 3, text_col: str = "text") -> DataFrame:
     """Order-n character model counts ``(context, next, count)``."""
-    t = texts.select(F.split(F.col(text_col), "").alias("_c")).filter(F.size("_c") > n)
-    g = t.select(F.explode(char_ngrams(F.col("_c"), n)).alias("g"))
+    g = texts.select(F.explode(char_grams(F.col(text_col), n + 1)).alias("g"))
     return g.groupBy(F.substring("g", 1, n).alias("context"), F.substring("g", n + 1, 1).alias("next")).agg(
         F.count(F.lit(1)).alias("count"))
 

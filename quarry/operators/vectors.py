@@ -86,16 +86,34 @@ def doc_vectors_smoothed(postings: DataFrame, word_vectors: DataFrame, smoothing
     return vector_sum(j.withColumn("_w", w), ["doc_id"], "vector", weight="_w", out="dvec")
 
 
+def _unit(df: DataFrame, vec_col: str, out: str) -> DataFrame:
+    """``vec_col / |vec_col|`` as ``out`` (null for a zero vector); the norm is
+    computed once per row in its own projection."""
+    n = df.select("*", VX.norm(vec_col).alias("_n"))
+    return n.select(*[c for c in df.columns if c != vec_col],
+                    F.when(F.col("_n") > 0, VX.scale(vec_col, F.lit(1.0) / F.col("_n"))).alias(out))
+
+
 def rank_word_embeddings(postings: DataFrame, qterms: DataFrame, word_vectors: DataFrame,
                          smoothing: str = "mean", n_docs=None, k: int = 10) -> DataFrame:
     """score = Σ over matching query terms with a vector of
-    cos(wv(term), document vector); top-k per query."""
-    dv = doc_vectors_smoothed(postings, word_vectors, smoothing, n_docs)
-    qv = (checked_broadcast(qterms.select("query_id", "term").distinct())
-          .join(word_vectors.select(F.col("word").alias("term"), F.col("vector").alias("qvec")), "term"))
-    m = postings.select("doc_id", "term").join(F.broadcast(qv), "term")
-    scored = (m.join(dv, "doc_id")
-              .groupBy("query_id", "doc_id").agg(F.sum(VX.cosine("qvec", "dvec")).alias("score")))
+    cos(wv(term), document vector); top-k per query.
+
+    cos(wv(t), dv(d)) does not depend on the query, so it is computed once per
+    posting ``(t, d)`` of a term that occurs in some query (as one dot product
+    of unit vectors), not once per query holding the term. Those postings keep
+    the index's document partitioning (the term list is broadcast, the
+    document vectors are aggregated and joined by ``doc_id`` on the same
+    partitioning), so the final ``(query_id, doc_id)`` sum needs no shuffle.
+    """
+    qt = checked_broadcast(qterms.select("query_id", "term").distinct())
+    terms = qt.select("term").distinct()
+    wv_q = _unit(word_vectors.select(F.col("word").alias("term"), "vector")
+                 .join(checked_broadcast(terms), "term", "left_semi"), "vector", "qvec")
+    dv = _unit(doc_vectors_smoothed(postings, word_vectors, smoothing, n_docs), "dvec", "dvec")
+    c = (postings.select("doc_id", "term").join(checked_broadcast(wv_q), "term")
+         .join(dv, "doc_id").select("doc_id", "term", VX.dot("qvec", "dvec").alias("c")))
+    scored = c.join(qt, "term").groupBy("query_id", "doc_id").agg(F.sum("c").alias("score"))
     return top_k(scored, k)
 
 
