@@ -103,6 +103,24 @@ def ngram_counts(tokens: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     return uni, bi
 
 
+def bigram_counts(texts: DataFrame, text_col: str = "text", analyzer="standard") -> DataFrame:
+    """Bigram counts ``(w1, w2, c)`` of adjacent tokens, built inside each row.
+
+    The token array is zipped with itself shifted by one, so the pairs come
+    out of the scan with no join and no shuffle of the token stream; the
+    count is a partial (map-side) aggregate keyed by the word pair. Same
+    result as :func:`ngram_counts` when positions have no holes.
+    """
+    from quarry.functions.text import analyzer as get_analyzer
+
+    fn = get_analyzer(analyzer) if isinstance(analyzer, str) else analyzer
+    t = texts.select(fn(F.col(text_col)).alias("_t"))
+    n = F.size("_t") - 1
+    pairs = F.when(n > 0, F.arrays_zip(F.slice("_t", 1, n).alias("w1"), F.slice("_t", 2, n).alias("w2")))
+    return (t.select(F.explode(pairs).alias("p")).select("p.w1", "p.w2")
+            .groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")))
+
+
 def suggest_ngram(uni: DataFrame, bi: DataFrame, lookups: DataFrame, k: int = 3, backoff: float = 0.4) -> DataFrame:
     """Complete the last (partial) word — or predict the next one after a
     trailing blank — from bigram counts P(w | previous word) = c(prev, w) /

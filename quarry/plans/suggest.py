@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
 from quarry.operators import suggest as G
-from quarry.operators.index import tokenize
 from quarry.plans import register
 from quarry.plans.common import doc_index, r6, sql_std_tokens, tbl
 
@@ -106,8 +105,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY round(score,
 SELECT lookup_id, word, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
 def suggest_ngram(spark, sf_dir):
     """Free-text (bigram with unigram back-off 0.4) completion, top-3."""
-    toks = tokenize(tbl(spark, sf_dir, "documents"))
-    uni, bi = G.ngram_counts(toks)
+    # unigram counts are the index's collection frequencies (same analyser)
+    uni = doc_index(spark, sf_dir).term_stats.select(F.col("term").alias("w"), F.col("cf").alias("c"))
+    bi = G.bigram_counts(tbl(spark, sf_dir, "documents"))
     r = G.suggest_ngram(uni, bi, lookups(spark, sf_dir), k=3)
     return r.select("lookup_id", "word", r6("score").alias("score"), F.col("rank").cast("long"))
 
