@@ -54,3 +54,28 @@ def test_char_filter(spark):
 def test_band_size():
     assert band_size(512, 0.5, 0.9) == 5
     assert band_size(4, 0.0, 0.5) == 1
+
+
+def test_char_grams_match_brute_force(spark):
+    from quarry.operators.suggest import char_grams
+
+    texts = ["abcd", "ab", "", None, "héllo\nwörld", "aaaa"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(char_grams(F.col("text"), 3).alias("g")).collect()]
+    want = [None if t is None else [t[i:i + 3] for i in range(len(t) - 2)] for t in texts]
+    assert got == want
+
+
+def test_bigram_counts_match_position_join(spark):
+    from collections import Counter
+
+    from quarry.operators.index import tokenize
+    from quarry.operators.suggest import bigram_counts, ngram_counts
+
+    rows = [(1, "the cat sat on the mat"), (2, "the cat"), (3, "x"), (4, ""), (5, None), (6, "the the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fast = Counter({(r.w1, r.w2): r.c for r in bigram_counts(df).collect()})
+    _, bi = ngram_counts(tokenize(df))
+    slow = Counter({(r.w1, r.w2): r.c for r in bi.collect()})
+    assert fast == slow
+    assert fast[("the", "cat")] == 2 and fast[("the", "the")] == 2

@@ -78,3 +78,14 @@ def test_boolean_clauses(spark):
     assert notq == {1}
     msm = {r.doc_id for r in search.boolean_search(idx, should=terms("a", "b", "c"), min_should_match=3).collect()}
     assert msm == {0}
+
+
+def test_score_sum_needs_no_shuffle(fixture):
+    """Postings are partitioned by document, so summing per (query, doc)
+    behind a broadcast query side plans no exchange on that key."""
+    import re
+
+    idx, q = fixture
+    plan = search.rank(idx, q, "bm25", k=2)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not any("doc_id" in e and "query_id" in e for e in exchanges), exchanges
