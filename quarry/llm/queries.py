@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import neardup, quality, spans
+from quarry.llm import neardup, packing, quality, spans
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -38,6 +38,14 @@ def op5(spark, sf_dir):
                                                                        "removed")
 
 
+@_query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    """Every piece of every document with its place in the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query("op8_quality_rules")
 def op8(spark, sf_dir):
     """Measures and verdict of every document, with cutoffs certified on ``labels``."""
