@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import neardup, packing, quality, spans
+from quarry.llm import bytebpe, chat, neardup, packing, quality, spans
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -54,6 +54,24 @@ def op8(spark, sf_dir):
         "stratum", *[f"cut_{r}" for r in quality.LADDERS])
 
 
+@_query("op9_sentencepiece_byte_bpe")
+def op9(spark, sf_dir):
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    return bytebpe.round_trip(_table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op10_relational_chat_format")
+def op10(spark, sf_dir):
+    """All conversations and conversation -7, formatted and read back."""
+    extra = spark.sql("""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+                         FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
