@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bytebpe, chat, neardup, packing, quality, spans
+from quarry.llm import bytebpe, chat, neardup, packing, quality, spans, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -25,6 +26,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL query, and what marks a domain label as advertising or tracking.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+LISTED_WORDS = "ads?|adserver|track(er|ing)?|spam|click"
+
+_SQL_URL = f"""
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h,
+                  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+r AS (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+l AS (SELECT *, regexp_matches(host, '(^|[.-])({LISTED_WORDS})([.-]|$)') AS listed FROM r)
+SELECT page_id, host, path, rule, listed, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM l"""
+
+
+@_query("op2_bloom_cascade", _SQL_URL)
+def op2(spark, sf_dir):
+    """Verdict on every page's url; listed are the corpus's domains whose first label names ads or tracking."""
+    pages = _table(spark, sf_dir, "pages")
+    seen = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
+    listed = seen.filter(F.element_at(F.split("domain", r"\."), 1).rlike(f"(^|-)({LISTED_WORDS})(-|$)"))
+    return urls.judge(pages, URL_RULES, listed)
+
+
 @_query("op3_superminhash_dedup")
 def op3(spark, sf_dir):
     """Near-duplicate classes of ``documents`` on two-word shingles."""
