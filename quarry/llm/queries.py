@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bytebpe, chat, neardup, packing, quality, spans, urls
+from quarry.llm import bytebpe, chat, fixity, neardup, packing, quality, spans, urls
+from quarry.llm.common import stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -68,6 +69,30 @@ def op5(spark, sf_dir):
                                                                        "removed")
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with planted faults: of 97 page ids one is flipped in place, one cut short and one lost."""
+    kind = F.pmod(F.col("page_id"), F.lit(97))
+    half = F.floor(F.col("length") / 2).cast("int")
+    first, rest = F.substring("record", F.lit(1), half), F.substring("record", half + 2, F.col("length").cast("int"))
+    return records.filter(F.coalesce(kind != 13, F.lit(True))).withColumn(
+        "record", F.when(kind == 7, F.concat(first, F.unhex(F.lit("00")), rest)).when(kind == 11, first)
+        .otherwise(F.col("record")))
+
+
+@_query("op6_merkle_fixity", """
+SELECT page_id, CASE page_id % 97 WHEN 7 THEN 'changed' WHEN 11 THEN 'changed' WHEN 13 THEN 'missing' ELSE 'sound' END
+  AS status FROM pages""")
+def op6(spark, sf_dir):
+    """Every page's WARC record with its status after an audit of a replica against the archive."""
+    kept = stage(fixity.archive(_table(spark, sf_dir, "pages")), "archive")
+    a = stage(fixity.leaves(kept), "leaves")
+    b = stage(fixity.leaves(damaged(kept)), "leaves")
+    found = fixity.audit(a, b).select(F.col("warc").alias("w"), F.col("offset").alias("o"), "status")
+    places = kept.select("page_id", "warc", "offset")
+    return (places.join(found, (F.col("warc") == F.col("w")) & (F.col("offset") == F.col("o")), "left")
+            .select("page_id", F.coalesce("status", F.lit("sound")).alias("status")))
+
+
 @_query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     """Every piece of every document with its place in the packed sequences."""
