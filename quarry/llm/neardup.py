@@ -10,7 +10,7 @@ The signature is cut into 32 bands of 5. A pair at similarity 0.8 misses all ban
 
 How a bucket is resolved without listing its pairs. Each bucket compares its members with one pivot. If all members then
 lie in one component, the bucket is done: more links inside it could not change a component. Otherwise pivots are drawn
-from its smaller components, compared with the members of the other components, and retired, twice as many each round,
+from the components other than its largest, compared with the members of the other components, and retired, twice as many each round,
 until the rest of the bucket lies in one component. Every pair of a bucket that is never compared either lies in one
 component already or is ruled out by the sizes of the two sets or by the triangle inequality of the Jaccard distance.
 """
@@ -269,13 +269,15 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
         at = stage(at.join(torn.select("key"), "key", "left_semi"), "torn")
         if at.isEmpty():
             return links
-        # pivots: members of the smallest components of a bucket
+        # pivots: members of any component of a bucket but its largest, so a large group is compared, not enumerated
         crowd = at.groupBy("key", "comp").count()
-        order = Window.partitionBy("key").orderBy("count", "comp", "node")
-        picked = (at.join(crowd, ["key", "comp"]).withColumn("rank", F.row_number().over(order))
-                  .filter(F.col("rank") <= pivots)
+        most = (crowd.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"))
+                .select(F.col("key").alias("k"), F.col("m.comp").alias("big")))
+        order = Window.partitionBy("key").orderBy("comp", "node")
+        picked = (at.join(most, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("big")))
+                  .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots)
                   .select("key", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"),
-                          F.col("d").alias("pd"), "rank"))
+                          F.col("d").alias("pd")))
         picked = stage(picked, "pivots")
         gone = picked.select("key", F.col("p").alias("node"))
         pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "pn", percent))

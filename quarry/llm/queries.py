@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bytebpe, chat, fixity, neardup, packing, quality, spans, urls
+from quarry.llm import bytebpe, chat, fixity, neardup, packing, quality, spans, urls, wrappers
 from quarry.llm.common import stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_wrapper_extraction")
+def op1(spark, sf_dir):
+    """Main text of every page, by wrappers inferred per host."""
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
 #: The rules of the URL query, and what marks a domain label as advertising or tracking.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
              ("block", "com/de/")]
