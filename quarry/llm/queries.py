@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bytebpe, chat, fixity, neardup, packing, quality, spans, urls, wrappers
+from quarry.llm import ann, bytebpe, chat, fixity, neardup, packing, quality, spans, urls, wrappers
 from quarry.llm.common import stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op3(spark, sf_dir):
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+@_query("op4_nn_descent")
+def op4(spark, sf_dir):
+    """The five nearest of every vector whose id is divisible by 50."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op5_sentence_span_dedup")
 def op5(spark, sf_dir):
     """``documents`` without the sentence spans that occur earlier in the corpus."""
