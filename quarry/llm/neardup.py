@@ -250,14 +250,16 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
     size = members.filter("node = pivot").select("key", F.col("n").alias("pn"))
     first = (members.filter("node <> pivot").join(size, "key")
              .filter(fits("n", "pn", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    # the distance to the first pivot rules out pairs later on
     seen = stage(verify(first, sets), "verified")
     links = [seen.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
-    rest, pivots = members.select("key", "node", "n", F.col("pivot").alias("p0")), 1
-    rest = rest.filter("node <> p0")
-    dist = seen.select(F.col("a").alias("p0"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    rest = stage(rest.join(dist, ["p0", "node"], "left"), "rest")
-    tried = seen.select("a", "b")
+    # bounds of the distance to the first pivot rule out pairs later on: exact if compared, else from the sizes
+    dist = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"),
+                       (1 - F.col("inter") / F.col("uni")).alias("d"))
+    rest = (members.filter("node <> pivot").join(size, "key").join(dist, ["pivot", "node"], "left")
+            .select("key", "node", "n", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
+                    F.coalesce("d", F.lit(1.0)).alias("far")))
+    rest = stage(rest, "rest")
+    tried, pivots, reach = seen.select("a", "b"), 1, 1 - percent / 100 + 1e-9
     while True:
         edges = links[0]
         for x in links[1:]:
@@ -265,30 +267,38 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
         comp = stage(components(edges), "components")
         at = rest.join(comp.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").withColumn(
             "comp", F.coalesce("comp", "node")).drop("cn")
-        torn = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-        at = stage(at.join(torn.select("key"), "key", "left_semi"), "torn")
+        # of the largest component of a bucket only those stay that something outside of it may reach
+        crowd = at.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("c"), F.min("near").alias("near"), F.max("far").alias("far"), F.min("n").alias("n0"),
+            F.max("n").alias("n1"))
+        big = crowd.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select(
+            F.col("key").alias("bk"), F.col("m.comp").alias("big"))
+        outside = (crowd.join(big, (F.col("key") == F.col("bk")) & (F.col("comp") != F.col("big")))
+                   .groupBy("key", "big").agg((F.min("near") - reach).alias("from"), (F.max("far") + reach).alias("to"),
+                                              F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+                   .withColumnRenamed("key", "ok"))
+        within = (F.col("far") >= F.col("from")) & (F.col("near") <= F.col("to")) & (
+            100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n"))
+        at = stage(at.join(outside, (F.col("key") == F.col("ok")) & ((F.col("comp") != F.col("big")) | within))
+                   .select("key", "node", "n", "near", "far", "comp", "big"), "torn")
         if at.isEmpty():
             return links
-        # pivots: members of any component of a bucket but its largest, so a large group is compared, not enumerated
-        crowd = at.groupBy("key", "comp").count()
-        most = (crowd.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"))
-                .select(F.col("key").alias("k"), F.col("m.comp").alias("big")))
         order = Window.partitionBy("key").orderBy("comp", "node")
-        picked = (at.join(most, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("big")))
-                  .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots)
+        picked = (at.filter("comp <> big").withColumn("rank", F.row_number().over(order))
+                  .filter(F.col("rank") <= pivots)
                   .select("key", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"),
-                          F.col("d").alias("pd")))
+                          F.col("near").alias("pnear"), F.col("far").alias("pfar")))
         picked = stage(picked, "pivots")
         gone = picked.select("key", F.col("p").alias("node"))
         pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "pn", percent))
-                 .filter(F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+                 .filter((F.col("near") - F.col("pfar") <= reach) & (F.col("pnear") - F.col("far") <= reach))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
                  .join(tried, ["a", "b"], "left_anti"))
         new = stage(verify(pairs, sets), "verified")
         links = [comp.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")),
                  new.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         tried = tried.unionByName(new.select("a", "b"))
-        rest = stage(at.drop("comp").join(gone, ["key", "node"], "left_anti"), "rest")
+        rest = stage(at.drop("comp", "big").join(gone, ["key", "node"], "left_anti"), "rest")
         pivots *= 2
 
 
