@@ -135,7 +135,7 @@ def phrase_search(index: Index, phrases: DataFrame) -> DataFrame:
     ph = checked_broadcast(phrases.join(index.term_stats.select("term", "df"), "term"))
     w = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
     rarest = ph.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("query_id", "term")
-    cand = (index.postings.select("doc_id", "term").join(F.broadcast(rarest), "term")
+    cand = (index.postings.select("doc_id", "term").join(checked_broadcast(rarest), "term")
             .select("query_id", "doc_id"))
     cand = checked_broadcast(cand)
     post = index.postings.select("doc_id", "term", "positions").join(
@@ -143,7 +143,7 @@ def phrase_search(index: Index, phrases: DataFrame) -> DataFrame:
     starts = (post.select("query_id", "doc_id", "offset", F.explode("positions").alias("pos"))
               .withColumn("start", F.col("pos") - F.col("offset"))
               .groupBy("query_id", "doc_id", "start").agg(F.countDistinct("offset").alias("n"))
-              .join(F.broadcast(plen), "query_id").filter(F.col("n") == F.col("plen")))
+              .join(checked_broadcast(plen), "query_id").filter(F.col("n") == F.col("plen")))
     return starts.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -221,9 +221,10 @@ def top_k_pruned(index: Index, qterms: DataFrame, k: int, post=None, common_df:
     best = cut_lineage(top_k(post(scored), k))
     kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     queries = qterms.select("query_id").distinct()
+    # fewer than k candidates give no k-th score, which proves nothing
+    beaten = F.coalesce(F.round("kth", SCORE_DIGITS) > F.round("ub_q", SCORE_DIGITS), F.lit(False))
     verdict = (queries.join(ub_q, "query_id", "left").join(kth, "query_id", "left")
-               .select("query_id", (F.col("ub_q").isNull()
-                                    | (F.round("kth", SCORE_DIGITS) > F.round("ub_q", SCORE_DIGITS))).alias("exact")))
+               .select("query_id", (F.col("ub_q").isNull() | beaten).alias("exact")))
     exact_q = verdict.filter("exact").select("query_id")
     rest_q = verdict.filter(~F.col("exact")).select("query_id")
     fast = best.join(exact_q, "query_id", "left_semi")

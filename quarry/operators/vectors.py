@@ -4,7 +4,7 @@ PCA, post-processing, k-means, bag-of-visual-words and histograms.
 Vector arithmetic is expressed with array higher-order functions or MLlib
 aggregates. Exact kNN is a block nested loop: the (size-checked) query block
 is broadcast to every task, each task scores its slice of the corpus with numpy
-and keeps at most ``k`` rows per query, and a final ``row_number() <= k`` window
+and keeps one running top-k per query over all its batches, and a final ``row_number() <= k`` window
 (partial limit before the shuffle) picks the global best. The corpus is never
 shuffled, collected or broadcast.
 """
@@ -15,13 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quarry.functions import vectors as VX
-from quarry.operators.search import top_k
+from quarry.operators.search import SCORE_DIGITS, top_k
 from quarry.operators.vectors_agg import vector_sum
 from quarry.session import checked_broadcast
 
-MAX_QUERY_BLOCK = 20_000  # queries broadcast per pass of the corpus
+QUERY_BLOCK_BYTES = 32 << 20  # query vectors broadcast per pass of the corpus
+_SCORE_BYTES = 32 << 20  # scores of one batch against a slice of the queries
+_PAIRS = 1 << 18  # rows scored again at once
 
 
 # ---- word and document vectors ---------------------------------------------
@@ -118,58 +121,82 @@ def rank_word_embeddings(postings: DataFrame, qterms: DataFrame, word_vectors: D
 
 
 # ---- exact nearest neighbours ----------------------------------------------
+def _best_per_query(q, ids, val, k):
+    """First ``k`` rows of each query by (value, id); values are compared after rounding, as the final rank is."""
+    order = np.argsort(ids, kind="stable")
+    order = order[np.lexsort((np.round(val[order], SCORE_DIGITS), q[order]))]
+    q, ids, val = q[order], ids[order], val[order]
+    start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate((start, [len(q)]))))
+    keep = rank < k
+    return q[keep], ids[keep], val[keep]
+
+
 def _knn_partition_fn(qids, Q, k, metric, id_col, vec_col):
+    """One running top-k per query over all batches of a partition, yielded once.
+
+    A batch is scored with one matrix product per slice of queries. Every row whose product lies within the product's
+    rounding error of a query's k-th is scored again from the vectors themselves, so ties are kept for the id to decide.
+    """
     Q = np.asarray(Q, dtype=np.float64)
     if metric == "cosine":
-        qn = np.linalg.norm(Q, axis=1, keepdims=True)
-        Qn = np.divide(Q, qn, out=np.zeros_like(Q), where=qn > 0)
+        Q = _unit_rows(Q)
     q2 = (Q * Q).sum(axis=1)
 
     def fn(batches):
+        best = (np.zeros(0, np.int64), None, np.zeros(0))
         for pdf in batches:
             if pdf.empty:
                 continue
             X = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            ids = pdf[id_col].to_numpy()
-            kk = min(k, len(ids))
             if metric == "cosine":
-                xn = np.linalg.norm(X, axis=1, keepdims=True)
-                Xn = np.divide(X, xn, out=np.zeros_like(X), where=xn > 0)
-                S = Xn @ Qn.T
-                idx = np.argpartition(-S, kk - 1, axis=0)[:kk]
-            else:
-                S = (X * X).sum(axis=1)[:, None] + q2[None, :] - 2.0 * (X @ Q.T)
-                idx = np.argpartition(S, kk - 1, axis=0)[:kk]
-            rows_q = np.repeat(np.arange(len(qids)), kk)
-            rows_x = idx.T.reshape(-1)
-            if metric == "cosine":
-                val = (Xn[rows_x] * Qn[rows_q]).sum(axis=1)
-            else:  # exact recomputation for the survivors
-                diff = X[rows_x] - Q[rows_q]
-                val = np.sqrt((diff * diff).sum(axis=1))
-            yield pd.DataFrame({"query_id": np.asarray(qids)[rows_q], "id": ids[rows_x], "value": val})
+                X = _unit_rows(X)
+            ids, x2, kk = pdf[id_col].to_numpy(), (X * X).sum(axis=1), min(k, len(pdf))
+            step = max(1, _SCORE_BYTES // (8 * len(X)))
+            for at in range(0, len(Q), step):
+                S = x2[:, None] + q2[None, at:at + step] - 2.0 * (X @ Q[at:at + step].T)
+                kth = np.partition(S, kk - 1, axis=0)[kk - 1]
+                slack = 1e-9 * (x2.max() + q2[at:at + step] + 1.0)
+                rows_x, rows_q = np.nonzero(S <= kth + slack)
+                rows_q = rows_q + at
+                for part in range(0, len(rows_x), _PAIRS):
+                    x, q = rows_x[part:part + _PAIRS], rows_q[part:part + _PAIRS]
+                    if metric == "cosine":
+                        val = -(X[x] * Q[q]).sum(axis=1)
+                    else:
+                        val = np.sqrt(((X[x] - Q[q]) ** 2).sum(axis=1))
+                    old = best if best[1] is not None else (best[0], ids[:0], best[2])
+                    best = _best_per_query(np.concatenate((old[0], q)), np.concatenate((old[1], ids[x])),
+                                           np.concatenate((old[2], val)), k)
+        if best[1] is not None:
+            yield pd.DataFrame({"query_id": np.asarray(qids)[best[0]], "id": best[1],
+                                "value": -best[2] if metric == "cosine" else best[2]})
     return fn
 
 
+def _unit_rows(a: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(a, axis=1, keepdims=True)
+    return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "euclidean",
         id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "query_id",
-        qvec_col: str = "qvec", block: int = MAX_QUERY_BLOCK) -> DataFrame:
-    """V6 (euclidean) / V5 (cosine): exact k nearest corpus rows per query.
+        qvec_col: str = "qvec", block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """V6 (euclidean) / V5 (cosine): exact k nearest corpus rows per query, ties to the smaller id.
 
-    Output ``(query_id, <id_col>, distance|similarity, rank)``. Queries are
-    processed in broadcast blocks of at most ``block`` rows; more queries make
-    more passes, never a bigger broadcast.
+    Output ``(query_id, <id_col>, distance|similarity, rank)``. Queries are processed in broadcast blocks of at most
+    about ``block_bytes`` of vectors; more queries make more passes, never a bigger broadcast.
     """
     spark = corpus.sparkSession
     qsel = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("qvec"))
-    n = qsel.limit(block + 1).count()
-    n_blocks = 1 if n <= block else -(-qsel.count() // block)
+    size = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()
+    n_blocks = max(1, -(-size["n"] * 8 * (size["d"] or 0) // block_bytes))
     parts = []
     qid_type = dict(qsel.dtypes)["query_id"]
     id_type = dict(corpus.dtypes)[id_col]
     for b in range(n_blocks):
         qb = qsel if n_blocks == 1 else qsel.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = qb.collect()  # bounded: at most `block` query vectors
+        rows = qb.collect()  # bounded: about block_bytes of query vectors
         if not rows:
             continue
         qids = [r[0] for r in rows]
@@ -178,7 +205,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "eucli
         parts.append(corpus.select(id_col, vec_col).mapInPandas(
             fn, f"query_id {qid_type}, id {id_type}, value double"))
     if not parts:
-        return spark.createDataFrame([], f"query_id {qid_type}, {id_col} {id_type}, value double, rank int")
+        name = "similarity" if metric == "cosine" else "distance"
+        return spark.createDataFrame([], f"query_id {qid_type}, {id_col} {id_type}, {name} double, rank int")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -249,13 +277,19 @@ def translation_matrix(pairs: DataFrame, src_col: str = "src", tgt_col: str = "t
 
 
 def project(df: DataFrame, vec_col: str, W: np.ndarray, out: str = "projected") -> DataFrame:
-    """Multiply each vector by the (small, broadcast as literals) matrix ``W`` (d×e)."""
-    d, e = W.shape
-    cols = []
-    for j in range(e):
-        wj = F.array(*[F.lit(float(W[i, j])) for i in range(d)])
-        cols.append(VX.dot(vec_col, wj))
-    return df.withColumn(out, F.array(*cols))
+    """Multiply each vector by the matrix ``W`` (d×e), one matrix product per Arrow batch; null stays null."""
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(W, dtype=np.float64))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def times(v: pd.Series) -> pd.Series:
+        res = pd.Series([None] * len(v), dtype=object)
+        ok = v.notna().to_numpy()
+        if ok.any():
+            got = np.stack(v[ok].to_list()).astype(np.float64) @ shared.value
+            res[ok] = pd.Series(list(got), index=res.index[ok])
+        return res
+
+    return df.withColumn(out, times(vec_col))
 
 
 def pca_fit_transform(df: DataFrame, vec_col: str, k: int, out: str = "pca"):

@@ -147,7 +147,7 @@ def lsh_recall(spark, sf_dir):
     dn = dsh.groupBy("id").agg(F.count(F.lit(1)).alias("dn"))
     qn = qsh.groupBy("query_id").agg(F.count(F.lit(1)).alias("qn"))
     inter = dsh.join(checked_broadcast(qsh), "s").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("i"))
-    jac = inter.join(dn, "id").join(F.broadcast(qn), "query_id").select(
+    jac = inter.join(dn, "id").join(checked_broadcast(qn), "query_id").select(
         "query_id", "id", (F.col("i") / (F.col("dn") + F.col("qn") - F.col("i"))).alias("score"))
     exact = top_k(jac, 10, id_col="id").select("query_id", F.col("id").alias("doc_id"))
     approx = lsh_search(spark, sf_dir).select("query_id", "doc_id")

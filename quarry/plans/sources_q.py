@@ -108,7 +108,9 @@ def _emb_text(spark, sf_dir):
         dim = e.select(F.max(F.size("embedding"))).first()[0] or 0
         head = spark.createDataFrame([(f"{n} {dim} 0",)], "value string")
         body = SF.embedding_lines(e.select(F.col("vec_id").alias("label"), F.col("embedding").alias("vector")))
-        head.unionByName(body).write.mode("overwrite").text(path)
+        # one file for the header, which comes first there; vectors go to files of their own
+        head.coalesce(1).write.mode("overwrite").text(path)
+        body.write.mode("append").text(path)
     return _staged(spark, sf_dir, "emb_text", write)
 
 
@@ -118,7 +120,7 @@ _SQL_VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
 @register("read_embeddings", f"SELECT vec_id::VARCHAR AS label, {_SQL_VEC} AS vector FROM embeddings")
 def read_embeddings(spark, sf_dir):
     """Embedding text file (header dropped) → (label, vector)."""
-    return SF.parse_embedding_lines(spark.read.text(_emb_text(spark, sf_dir)))
+    return SF.read_embedding_file(spark, _emb_text(spark, sf_dir))
 
 
 @register("decode_vectors", f"SELECT vec_id, {_SQL_VEC} AS vector FROM embeddings")

@@ -142,20 +142,23 @@ def alt_queries(spark, sf_dir):
     after the first newline is the alternative query."""
     b = tbl(spark, sf_dir, "benchmark")
     p = b.select(F.col("item_id").alias("prompt_id"), F.concat(F.lower("text"), F.lit("\n")).alias("prompt"))
-    s = G.sample_continuations(p, _char_model(spark, sf_dir), n=3, num=3, max_len=40, end="\t")
+    s = G.sample_continuations(p, _char_model(spark, sf_dir), n=3, num=3, max_len=40, end="\n")
     return s.select(F.col("prompt_id").alias("query_id"), F.col("sample").cast("long"),
                     F.trim(F.col("text")).alias("alternative"), "logp")
 
 
 @register("suggest_diversify")
 def suggest_diversify(spark, sf_dir):
-    """Each prefix suggestion plus a copy with its word replaced by the
-    nearest word-vector neighbour (similarity > 0.3), weight × 0.7 truncated."""
+    """Each prefix suggestion plus, for each of its words, a copy with that word replaced by its nearest
+    word-vector neighbour (similarity above 0.7), weight × 0.7 truncated."""
     from quarry.plans.vectors import _nearest_other
 
     sugg = suggest_prefix(spark, sf_dir).select("lookup_id", "entry", "weight")
-    nn = _nearest_other(spark, sf_dir, sugg.select(F.col("entry").alias("word")).distinct(), 1).filter(
-        F.col("similarity") > 0.3).select(F.col("query_id").alias("entry"), F.col("word").alias("alt"))
-    rep = sugg.join(nn, "entry").select("lookup_id", F.col("alt").alias("entry"),
-                                        F.floor(F.col("weight") * 0.7).cast("long").alias("weight"))
+    parts = F.split("entry", " ")
+    each = sugg.select("*", F.posexplode(parts).alias("at", "part"))
+    nn = _nearest_other(spark, sf_dir, each.select(F.col("part").alias("word")).distinct(), 1).filter(
+        F.col("similarity") > 0.7).select(F.col("query_id").alias("part"), F.col("word").alias("alt"))
+    swapped = F.transform(parts, lambda w, i: F.when(i == F.col("at"), F.col("alt")).otherwise(w))
+    rep = each.join(nn, "part").select("lookup_id", F.array_join(swapped, " ").alias("entry"),
+                                       F.floor(F.col("weight") * 0.7).cast("long").alias("weight"))
     return sugg.unionByName(rep).distinct()

@@ -383,17 +383,15 @@ def doc_vectors(spark, sf_dir):
 
 @register("rank_doc_embeddings")
 def rank_doc_embeddings(spark, sf_dir):
-    """BM25 top-10 hits of each benchmark passage re-scored by the cosine of
-    the inferred passage vector and the hit's inferred document vector."""
+    """Every document that matches a benchmark passage, scored by the cosine of the inferred passage vector
+    and the document's inferred vector; top 10."""
     idx = doc_index(spark, sf_dir)
-    hits = S.rank(idx, bench_terms(spark, sf_dir), "bm25", 10)
-    hit_docs = hits.select("doc_id").distinct()
-    dtoks = tokenize(tbl(spark, sf_dir, "documents")).select("doc_id", "term").join(
-        checked_broadcast(hit_docs), "doc_id", "left_semi")
+    hits = S.score(idx, bench_terms(spark, sf_dir), "bm25").select("query_id", "doc_id")
+    dtoks = tokenize(tbl(spark, sf_dir, "documents")).select("doc_id", "term")
     qtoks = tokenize(tbl(spark, sf_dir, "benchmark"), "text", "item_id").select("doc_id", "term")
     dv = _doc_vectors(spark, sf_dir, dtoks).withColumnRenamed("vector", "dvec")
     qv = _doc_vectors(spark, sf_dir, qtoks).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvec"))
-    s = hits.select("query_id", "doc_id").join(dv, "doc_id").join(qv, "query_id").select(
+    s = hits.join(dv, "doc_id").join(checked_broadcast(qv), "query_id").select(
         "query_id", "doc_id", VX.cosine("qvec", "dvec").alias("score"))
     r = top_k(s, 10)
     return r.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"))

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, NumericType, StringType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Row bound under which a side is small enough to ship to every executor.
+# A side is small enough to ship to every executor under both bounds: rows, and bytes at the width of its types.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -47,15 +50,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) a private folder is made.
+    A private folder is made only where the setting is unset and the master is local, as in tests; on a cluster an
+    unset folder is an error, since driver and executors would write to different machines.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -65,15 +71,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when it provably holds at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only when its rows and their bytes are proven to be within the bounds.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned unhinted and the join falls back to a shuffle join (AQE may still
-    convert it at run time from real sizes).
+    Rows and widths are counted by one partial aggregate; no rows meet in one task. Beyond a bound the frame is
+    returned unhinted and the join falls back to a shuffle join (AQE may still convert it at run time).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+
+
+def _row_bytes(df: DataFrame):
+    """About how many bytes a row takes in memory: fixed types by width, strings and arrays by length."""
+    total = F.lit(16)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            width = F.octet_length(c) + 8
+        elif isinstance(f.dataType, ArrayType):
+            each = 8 if isinstance(f.dataType.elementType, NumericType) else 48
+            width = F.size(c) * each + 16
+        else:
+            width = F.lit(8 if isinstance(f.dataType, NumericType) else 64)
+        total = total + F.coalesce(width, F.lit(8)).cast("long")
+    return total
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:

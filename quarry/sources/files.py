@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
@@ -20,9 +20,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return d.select("file", "block_start", "_mid", F.col("value").alias("line"))
 
 
-def read_delimited(spark: SparkSession, path: str, columns=(0, 4), names=None, header: bool = True) -> DataFrame:
-    """A real CSV reader (quotes, embedded commas), keeping the given column positions."""
-    d = spark.read.option("header", str(header).lower()).option("multiLine", "true").csv(path)
+def read_delimited(spark: SparkSession, path: str, columns=(0, 4), names=None, header: bool = True,
+                   multi_line: bool = False) -> DataFrame:
+    """A real CSV reader (quotes, embedded commas), keeping the given column positions.
+
+    Doubled quotes are read as the sink writes them. Files split over tasks unless ``multi_line`` fields are allowed.
+    """
+    d = (spark.read.option("header", str(header).lower()).option("multiLine", str(multi_line).lower())
+         .option("escape", '"').csv(path))
     cols = [d.columns[i] for i in columns]
     names = names or cols
     return d.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
@@ -35,12 +40,22 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("target").isNotNull()))
 
 
-def parse_embedding_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+def read_embedding_file(spark: SparkSession, path: str) -> DataFrame:
+    """Embedding text files → ``(label, vector)``; the first line of a file may be its header."""
+    lines = read_lines(spark, path)
+    first = lines.groupBy("file").agg(F.min(F.struct("block_start", "_mid")).alias("s")).select(
+        F.col("file").alias("_f"), F.col("s._mid").alias("_first"))
+    at = lines.join(first, F.col("file") == F.col("_f")).withColumn("_head", F.col("_mid") == F.col("_first"))
+    return parse_embedding_lines(at, "line", "_head")
+
+
+def parse_embedding_lines(lines: DataFrame, col: str = "value", first_col: str | None = None) -> DataFrame:
     """``label v1 v2 …`` lines → ``(label, vector array<double>)``; labels
-    with a ``B64:`` prefix are base64-decoded; the header line
-    ``NUM_WORDS VECTOR_SIZE NUM_DOCS`` (all integers, three fields) is dropped."""
+    with a ``B64:`` prefix are base64-decoded. A header line ``NUM_WORDS VECTOR_SIZE NUM_DOCS`` (three integers) is
+    dropped only where ``first_col`` marks the first line of a file; elsewhere such a line is a vector."""
     f = F.split(F.trim(F.col(col)), " ")
     is_header = (F.size(f) == 3) & F.forall(f, lambda x: x.rlike("^[0-9]+$"))
+    is_header = is_header & F.col(first_col) if first_col else F.lit(False)
     raw = F.element_at(f, 1)
     label = F.when(raw.startswith("B64:"), F.unbase64(F.substring(raw, 5, 1 << 30)).cast("string")).otherwise(raw)
     vec = F.transform(F.slice(f, 2, F.size(f) - 1), lambda x: x.cast("double"))
@@ -58,8 +73,13 @@ def embedding_lines(vectors: DataFrame, label_col: str = "label", vec_col: str =
 
 @pandas_udf(ArrayType(DoubleType()))
 def decode_vectors(b: pd.Series) -> pd.Series:
-    """Big-endian float64 bytes → double array (Arrow batches)."""
-    return b.map(lambda x: None if x is None else np.frombuffer(x, dtype=">f8").astype(np.float64))
+    """Big-endian float64 bytes → double array; one byte swap over all vectors of an Arrow batch."""
+    ok = b.notna().to_numpy()
+    sizes = np.array([len(x) // 8 for x in b[ok]], dtype=np.int64)
+    flat = np.frombuffer(b"".join(b[ok]), dtype=">f8").astype(np.float64)
+    out = pd.Series([None] * len(b), dtype=object)
+    out[ok] = pd.Series(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], index=out.index[ok], dtype=object)
+    return out
 
 
 @pandas_udf(BinaryType())
@@ -73,13 +93,13 @@ def append_batches(docs: DataFrame, root: str, batch_col: str = "batch_id") -> D
     batch, in one distributed write; a replayed batch overwrites only its own
     partition. Returns ``(batch_id, n_docs)`` read back from storage."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    docs.write.mode("overwrite").partitionBy(batch_col).parquet(root)
+    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(root)
     return spark.read.parquet(root).groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def write_results_csv(results: DataFrame, path: str, strip_commas: Column | None = None) -> None:
-    """K3: CSV sink, overwrite; proper quoting (multi-line fields survive)."""
+def write_results_csv(results: DataFrame, path: str, strip_commas: tuple[str, ...] = ()) -> None:
+    """K3: CSV sink, overwrite; proper quoting (multi-line fields survive). Commas go from the named columns."""
+    results = results.withColumns({c: F.regexp_replace(c, ",", "") for c in strip_commas}) if strip_commas else results
     results.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 

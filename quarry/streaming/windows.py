@@ -60,12 +60,9 @@ def count_windows_stream(stream: DataFrame, size: int, order_col: str, id_col: s
             batch = pd.concat(new).sort_values(order_col, kind="stable")
             ids += batch[id_col].astype(str).tolist()
             texts += batch[text_col].tolist()
-        rows = []
-        while len(ids) >= size:
-            for i in range(size):
-                rows.append((str(key[0]), nxt, i, ids[i], texts[i]))
-            ids, texts, nxt = ids[size:], texts[size:], nxt + 1
-        state.update((ids, texts, nxt))
+        full = len(ids) // size * size
+        rows = [(str(key[0]), nxt + i // size, i % size, ids[i], texts[i]) for i in range(full)]
+        state.update((ids[full:], texts[full:], nxt + full // size))
         yield pd.DataFrame(rows, columns=["shard", "window_id", "pos", "id", "text"])
 
     s = stream.select(F.col(shard_col).cast("string").alias("_shard"), order_col, id_col, text_col)
