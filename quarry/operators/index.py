@@ -7,8 +7,8 @@ An index over one text field is four DataFrames:
     term_stats(term, df, cf)                     collection statistics per term
     field_stats(n_docs, sum_ttf, avgdl)          one row
 
-The index is *document-partitioned*: the token stream is shuffled once by
-``doc_id`` and the (doc_id, term) aggregation runs inside those partitions with
+The index is *document-partitioned*: the analysed documents, one row each, are shuffled once by
+``doc_id``, exploded on the far side, and the (doc_id, term) aggregation runs inside those partitions with
 no second exchange (hash partitioning on ``doc_id`` satisfies the clustering on
 ``(doc_id, term)``). Every posting of a document therefore lives in one
 partition, and a ranked query joined to the postings through a broadcast query
@@ -16,15 +16,15 @@ side sums its scores by ``(query_id, doc_id)`` without any shuffle: each
 partition scores its own documents completely, a partial ``WindowGroupLimit``
 keeps its local best k per query, and only those rows are shuffled by
 ``query_id``. Hot terms do not skew the build because the key is the
-document; one document is bounded by its own length. (Shuffling the tokens
-once measured faster than aggregating by ``(doc_id, term)`` and re-shuffling
-the postings by ``doc_id``.) ``term_stats`` is a second aggregation
+document; one document is bounded by its own length. A written index keeps
+this layout as buckets of ``doc_id``. ``term_stats`` is a second aggregation
 keyed by term whose partial step emits at most one row per term per partition,
 so a term in a third of all documents costs one row per partition to shuffle.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -56,7 +56,11 @@ def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     document has ``first_pos = 0``, which yields document lengths without a
     second pass over the text or another shuffle.
     """
-    toks = tokenize(docs, text_col, id_col, analyzer, keep_dl=True).repartition("doc_id")
+    fn = get_analyzer(analyzer) if isinstance(analyzer, str) else analyzer
+    # the analysed documents are shuffled, one row each; tokens are exploded on the far side
+    analysed = docs.select(F.col(id_col).alias("doc_id"), fn(F.col(text_col)).alias("_toks")).repartition("doc_id")
+    toks = (analysed.select("doc_id", F.size("_toks").alias("dl"), F.posexplode_outer("_toks").alias("pos", "term"))
+            .filter(F.col("pos").isNotNull()))
     aggs = [F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")]
     if with_positions:
         aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
@@ -88,6 +92,9 @@ def field_stats(lengths: DataFrame) -> DataFrame:
         "n_docs", "sum_ttf", (F.col("sum_ttf") / F.col("n_docs")).alias("avgdl"))
 
 
+POSTINGS_PER_BUCKET = 20_000_000
+
+
 @dataclass
 class Index:
     """The tables of one analysed text field."""
@@ -113,10 +120,17 @@ class Index:
             fs = fs.persist(StorageLevel.MEMORY_AND_DISK)
         return cls(postings, lengths, ts, fs, analyzer)
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Persist as parquet; postings clustered by term so term lookups prune row groups."""
-        (self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "doc_id")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
+    def write(self, path: str, buckets: int | None = None) -> None:
+        """Persist as parquet, postings bucketed by ``doc_id`` (one file a bucket, sorted by term inside), so that a
+        loaded index is as document-partitioned as a built one. Buckets follow the data unless given."""
+        spark = self.postings.sparkSession
+        if buckets is None:
+            buckets = max(1, -(-self.postings.count() // POSTINGS_PER_BUCKET))
+        name = f"quarry_write_{uuid.uuid4().hex}"
+        (self.postings.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("term")
+         .mode("overwrite").option("path", f"{path}/postings").saveAsTable(name))
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
         self.doc_lengths.write.mode("overwrite").parquet(f"{path}/doc_lengths")
         self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
         self.field_stats.write.mode("overwrite").parquet(f"{path}/field_stats")
@@ -124,7 +138,12 @@ class Index:
     @classmethod
     def load(cls, spark, path: str, analyzer="standard") -> "Index":
         r = spark.read.parquet
-        return cls(r(f"{path}/postings"), r(f"{path}/doc_lengths"), r(f"{path}/term_stats"),
+        buckets = r(f"{path}/layout").first()["buckets"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r(f"{path}/postings").schema)
+        name = f"quarry_index_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+        return cls(spark.table(name), r(f"{path}/doc_lengths"), r(f"{path}/term_stats"),
                    r(f"{path}/field_stats"), analyzer)
 
     def stats(self) -> dict:

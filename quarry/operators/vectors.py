@@ -99,8 +99,14 @@ def _unit(df: DataFrame, vec_col: str, out: str) -> DataFrame:
 
 def rank_word_embeddings(postings: DataFrame, qterms: DataFrame, word_vectors: DataFrame,
                          smoothing: str = "mean", n_docs=None, k: int = 10) -> DataFrame:
+    """The top ``k`` per query of :func:`score_word_embeddings`."""
+    return top_k(score_word_embeddings(postings, qterms, word_vectors, smoothing, n_docs), k)
+
+
+def score_word_embeddings(postings: DataFrame, qterms: DataFrame, word_vectors: DataFrame,
+                          smoothing: str = "mean", n_docs=None) -> DataFrame:
     """score = Σ over matching query terms with a vector of
-    cos(wv(term), document vector); top-k per query.
+    cos(wv(term), document vector), as ``(query_id, doc_id, score)``.
 
     cos(wv(t), dv(d)) does not depend on the query, so it is computed once per
     posting ``(t, d)`` of a term that occurs in some query (as one dot product
@@ -116,8 +122,7 @@ def rank_word_embeddings(postings: DataFrame, qterms: DataFrame, word_vectors: D
     dv = _unit(doc_vectors_smoothed(postings, word_vectors, smoothing, n_docs), "dvec", "dvec")
     c = (postings.select("doc_id", "term").join(checked_broadcast(wv_q), "term")
          .join(dv, "doc_id").select("doc_id", "term", VX.dot("qvec", "dvec").alias("c")))
-    scored = c.join(qt, "term").groupBy("query_id", "doc_id").agg(F.sum("c").alias("score"))
-    return top_k(scored, k)
+    return c.join(qt, "term").groupBy("query_id", "doc_id").agg(F.sum("c").alias("score"))
 
 
 # ---- exact nearest neighbours ----------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import search
 from quarry.plans import register
+from quarry.plans.vectors import SQL_WV, sql_word_embeddings
 from quarry.plans.common import (SQL_BENCH_TERMS, SQL_INDEX, bench_terms, doc_index, r6,
                                  sql_bm25, sql_classic, sql_lm_dirichlet, sql_lm_jm, sql_topk)
 
@@ -230,18 +231,30 @@ def rank_cosine_tfidf(spark, sf_dir):
 _RANKER_SQL = {"bm25": sql_bm25(), "classic": sql_classic(), "lm_jm": sql_lm_jm(),
                "lm_dirichlet": sql_lm_dirichlet()}
 _MULTI_UNION = " UNION ALL ".join(
-    f"SELECT qt.query_id, m.doc_id, '{n}' AS ranker, sum(qt.qtf * ({e})) AS score FROM qt JOIN m USING (term) "
-    f"GROUP BY qt.query_id, m.doc_id" for n, e in _RANKER_SQL.items())
+    [f"SELECT qt.query_id, m.doc_id, '{n}' AS ranker, sum(qt.qtf * ({e})) AS score FROM qt JOIN m USING (term) "
+     f"GROUP BY qt.query_id, m.doc_id" for n, e in _RANKER_SQL.items()]
+    + ["SELECT query_id, doc_id, 'word_embedding' AS ranker, score FROM we_scored"])
 
 
-@register("multi_ranker", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
+def five_rankers(spark, sf_dir, k):
+    """Four lexical rankers and word embeddings with tf-idf smoothing over the document index."""
+    from quarry.operators import vectors
+    from quarry.plans.vectors import word_vectors
+
+    idx, terms = doc_index(spark, sf_dir), bench_terms(spark, sf_dir)
+    embedded = vectors.score_word_embeddings(idx.postings, terms, word_vectors(spark, sf_dir), "tf_idf",
+                                             n_docs=idx.stats()["n_docs"])
+    return ranking.multi_rank(idx, terms, k=k, scored={"word_embedding": embedded})
+
+
+@register("multi_ranker", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {SQL_WV}, {sql_word_embeddings("tf_idf")},
 scored AS ({_MULTI_UNION}),
 mx AS (SELECT query_id, ranker, round(max(score), 6) AS max_score FROM scored GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ranker ORDER BY round(score, 9) DESC, doc_id) AS rank
          FROM scored) WHERE rank <= 3)
 SELECT query_id, ranker, doc_id, round(score, 6) AS score, rank, max_score FROM best JOIN mx USING (query_id, ranker)""")
 def multi_ranker(spark, sf_dir):
-    """Four rankers from one postings join, top-3 each with max score."""
-    r = ranking.multi_rank(doc_index(spark, sf_dir), bench_terms(spark, sf_dir), k=3)
+    """Four lexical rankers from one postings join and the word-embedding ranker, top-3 each with max score."""
+    r = five_rankers(spark, sf_dir, 3)
     return r.select("query_id", "ranker", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"),
                     r6("max_score").alias("max_score"))

@@ -132,8 +132,16 @@ def tfidf_avg_vectors(spark, sf_dir):
     return _long(v, "doc_id", "vector")
 
 
-@register("rank_word_embeddings", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {SQL_WV},
-dx AS (SELECT post.doc_id, unnest(wv.vector) AS v, generate_subscripts(wv.vector, 1) AS i FROM post JOIN wv ON wv.word = post.term),
+# What divides a word's vector in its document's vector, per smoothing.
+SMOOTHING_SQL = {"mean": "1.0", "tf": "post.tf", "idf": "1.0",
+                 "tf_idf": "(1 + ln(post.tf) * ln((SELECT n_docs FROM fs)))"}
+
+
+def sql_word_embeddings(smoothing: str) -> str:
+    """CTEs up to ``we_scored(query_id, doc_id, score)``."""
+    return f"""
+dx AS (SELECT post.doc_id, unnest(wv.vector) / w AS v, generate_subscripts(wv.vector, 1) AS i
+       FROM (SELECT post.*, {SMOOTHING_SQL[smoothing]} AS w FROM post) post JOIN wv ON wv.word = post.term),
 dv AS (SELECT doc_id, i, sum(v) AS v FROM dx GROUP BY doc_id, i),
 dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY doc_id),
 q AS (SELECT DISTINCT qt.query_id, qt.term FROM qt JOIN wv ON wv.word = qt.term),
@@ -143,15 +151,26 @@ pairs AS (SELECT q.query_id, q.term, post.doc_id FROM q JOIN post USING (term)),
 dots AS (SELECT p.query_id, p.term, p.doc_id, sum(qx.v * dv.v) AS dot
          FROM pairs p JOIN qx ON qx.query_id = p.query_id AND qx.term = p.term JOIN dv ON dv.doc_id = p.doc_id AND dv.i = qx.i
          GROUP BY p.query_id, p.term, p.doc_id),
-scored AS (SELECT dots.query_id, dots.doc_id, sum(dot / (qn.n * dn.n)) AS score
-           FROM dots JOIN qn USING (query_id, term) JOIN dn USING (doc_id) GROUP BY dots.query_id, dots.doc_id)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {sql_topk('scored', 10)}""")
-def rank_word_embeddings(spark, sf_dir):
-    """Σ over matching query terms of cos(word vector, document vector),
-    MEAN smoothing; top-10 per benchmark passage."""
-    idx = doc_index(spark, sf_dir)
-    r = V.rank_word_embeddings(idx.postings, bench_terms(spark, sf_dir), word_vectors(spark, sf_dir), "mean", k=10)
-    return r.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"))
+we_scored AS (SELECT dots.query_id, dots.doc_id, sum(dot / (qn.n * dn.n)) AS score
+           FROM dots JOIN qn USING (query_id, term) JOIN dn USING (doc_id) GROUP BY dots.query_id, dots.doc_id)"""
+
+
+def _register_word_embeddings(name: str, smoothing: str):
+    @register(name, f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS}, {SQL_WV}, {sql_word_embeddings(smoothing)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {sql_topk('we_scored', 10)}""")
+    def run(spark, sf_dir):
+        idx = doc_index(spark, sf_dir)
+        r = V.rank_word_embeddings(idx.postings, bench_terms(spark, sf_dir), word_vectors(spark, sf_dir), smoothing,
+                                   n_docs=idx.stats()["n_docs"], k=10)
+        return r.select("query_id", "doc_id", r6("score").alias("score"), F.col("rank").cast("long"))
+
+    run.__doc__ = f"""R10: Σ over matching query terms of cos(word vector, document vector), {smoothing} smoothing;
+    top-10 per benchmark passage."""
+
+
+for _name, _smoothing in (("rank_word_embeddings", "mean"), ("rank_word_embeddings_tf", "tf"),
+                          ("rank_word_embeddings_idf", "idf"), ("rank_word_embeddings_tf_idf", "tf_idf")):
+    _register_word_embeddings(_name, _smoothing)
 
 
 @register("nearest_words", f"""WITH {SQL_BENCH_TERMS}, {SQL_WV},

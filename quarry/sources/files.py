@@ -52,10 +52,15 @@ def read_embedding_file(spark: SparkSession, path: str) -> DataFrame:
 def parse_embedding_lines(lines: DataFrame, col: str = "value", first_col: str | None = None) -> DataFrame:
     """``label v1 v2 …`` lines → ``(label, vector array<double>)``; labels
     with a ``B64:`` prefix are base64-decoded. A header line ``NUM_WORDS VECTOR_SIZE NUM_DOCS`` (three integers) is
-    dropped only where ``first_col`` marks the first line of a file; elsewhere such a line is a vector."""
+    dropped where ``first_col`` marks the first line of a file; without positions, where its VECTOR_SIZE is the size of the
+    frame's vectors. Elsewhere such a line is a vector."""
     f = F.split(F.trim(F.col(col)), " ")
     is_header = (F.size(f) == 3) & F.forall(f, lambda x: x.rlike("^[0-9]+$"))
-    is_header = is_header & F.col(first_col) if first_col else F.lit(False)
+    if first_col:
+        is_header = is_header & F.col(first_col)
+    else:
+        size = lines.agg(F.max(F.size(f))).first()[0] or 0
+        is_header = is_header & (F.element_at(f, 2) == F.lit(str(size - 1)))
     raw = F.element_at(f, 1)
     label = F.when(raw.startswith("B64:"), F.unbase64(F.substring(raw, 5, 1 << 30)).cast("string")).otherwise(raw)
     vec = F.transform(F.slice(f, 2, F.size(f) - 1), lambda x: x.cast("double"))

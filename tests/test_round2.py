@@ -67,6 +67,8 @@ def test_only_the_first_line_of_a_file_can_be_a_header(spark, tmp_path):
     (tmp_path / "e.txt").write_text("3 2 0\nword 1 2\n1987 3 4\n")
     got = {r.label: r.vector for r in files.read_embedding_file(spark, str(tmp_path / "e.txt")).collect()}
     assert got == {"word": [1.0, 2.0], "1987": [3.0, 4.0]}
+    lines = spark.createDataFrame([("word 1 2",), ("1987 3 4",)], "value string")
+    assert files.parse_embedding_lines(lines).count() == 2
 
 
 def test_vectors_decode_with_nulls_and_unlike_lengths(spark):
@@ -136,3 +138,28 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_written_index_keeps_its_partitioning(spark, tmp_path):
+    import re
+
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 3} beta") for i in range(60)], "doc_id long, text string")
+    terms = query_terms(spark.createDataFrame([(1, "alpha w2"), (2, "w1 w6")], "query_id long, text string"))
+    built = Index.build(docs, with_positions=True)
+    built.write(str(tmp_path / "idx"), buckets=3)
+    loaded = Index.load(spark, str(tmp_path / "idx"))
+    got = search.rank(loaded, terms, "bm25", k=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.rank(built, terms, "bm25", k=5).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not any("doc_id" in k and "query_id" in k for k in keys), keys
+
+
+def test_multi_ranker_takes_scored_rankers(spark):
+    from quarry.operators import ranking
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "b c")], "doc_id long, text string")
+    terms = query_terms(spark.createDataFrame([(9, "a")], "query_id long, text string"))
+    mine = spark.createDataFrame([(9, 3, 0.5), (9, 1, 0.25)], "query_id long, doc_id long, score double")
+    got = ranking.multi_rank(Index.build(docs), terms, k=2, scored={"mine": mine}).filter("ranker = 'mine'").collect()
+    assert sorted((r["doc_id"], r["rank"], r["max_score"]) for r in got) == [(1, 2, 0.5), (3, 1, 0.5)]
