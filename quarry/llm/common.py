@@ -54,6 +54,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def one_by_one(column):
+    """The values of an Arrow column as Python objects, made one at a time, so that a batch is not held twice."""
+    for x in column:
+        yield x.as_py()

@@ -20,10 +20,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, stage
+from quarry.llm.common import broadcast_if_small, one_by_one, stage
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -40,8 +41,8 @@ LADDERS = {
     "dup_line_ratio": (0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
 
-_MEASURES = ("doc_id long, stratum string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-             "n_repeat_words long, n_lines long, n_upper long")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+_MEASURES = "doc_id long, stratum string, text_key long, " + ", ".join(f"{c} long" for c in _COUNTS)
 
 
 def repeat_words(words: list) -> int:
@@ -90,13 +91,13 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """One row of measures per row of ``docs`` (``doc_id, text`` and the stratum column), in one scan."""
     def run(batches):
         for b in batches:
-            rows = [measure(t) for t in b["text"]]
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                              "n_lines", "n_upper"], dtype="int64")
-            yield pd.concat([b[["doc_id", "stratum", "text_key"]].reset_index(drop=True), out], axis=1)
+            rows = np.array([measure(t) for t in one_by_one(b.column("text"))], np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("stratum"), b.column("text_key"), *map(pa.array, rows.T)],
+                ["doc_id", "stratum", "text_key", *_COUNTS])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(stratum).cast("string").alias("stratum"),
-                       text_key().alias("text_key"), "text").mapInPandas(run, _MEASURES)
+                       text_key().alias("text_key"), "text").mapInArrow(run, _MEASURES)
 
 
 def with_ratios(m: DataFrame) -> DataFrame:

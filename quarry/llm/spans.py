@@ -14,12 +14,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, stage
+from quarry.llm.common import broadcast_if_small, one_by_one, stage
 
 MIN_WORDS = 25
+_ROWS = 256
 #: A unit runs to a mark or line end, or to a capitalised word, and takes the white space after it along.
 UNIT = re.compile(r"\s*\S(?:[^.!?,;:\n\s]|[.!?,;:](?=\S)|[^\S\n]+(?![^\W\d_a-zß-öø-ÿ]))*[.!?,;:]*\s*")
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
@@ -67,26 +69,29 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     def run(batches):
         for b in batches:
-            ids, keys, parts = b["doc_id"].to_numpy(), b["tkey"].to_numpy(), []
-            for i, text in enumerate(b["text"]):
+            ids, keys = b.column("doc_id").to_numpy(), b.column("tkey").to_numpy()
+            parts, held = [], 0
+            for i, text in enumerate(one_by_one(b.column("text"))):
                 got = span_table(text, min_words)
                 if got is None:
                     continue
                 s, e, h1, h2 = got
                 seen = pd.MultiIndex.from_arrays([h1, h2]).duplicated() if len(s) > 1 else np.zeros(len(s), bool)
-                parts.append((np.full(len(s), ids[i]), np.full(len(s), keys[i]), s, e, h1, h2, seen))
-                if sum(len(p[0]) for p in parts[-64:]) > 200_000:
+                parts.append((np.full(len(s), ids[i]), np.full(len(s), keys[i]), s.astype(np.int32),
+                              e.astype(np.int32), h1, h2, seen))
+                held += len(s)
+                if held > 50_000:
                     yield frame(parts)
-                    parts = []
+                    parts, held = [], 0
             if parts:
                 yield frame(parts)
 
     def frame(parts):
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        return pd.DataFrame(dict(zip(("doc_id", "tkey", "first", "last", "h1", "h2", "again"), cols, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)],
+                                          ["doc_id", "tkey", "first", "last", "h1", "h2", "again"])
 
     return (keyed(docs).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-            .mapInPandas(run, "doc_id long, tkey long, first int, last int, h1 long, h2 long, again boolean"))
+            .mapInArrow(run, "doc_id long, tkey long, first int, last int, h1 long, h2 long, again boolean"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -126,25 +131,38 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     j = docs.join(cut, (F.col("doc_id").cast("long") == F.col("_cid")) & (F.xxhash64("text") == F.col("_ckey")),
                   "left")
 
-    @F.pandas_udf("text string, n_units int, n_removed int, removed array<struct<start:int,end:int>>")
-    def apply(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, c in zip(text, cuts, strict=True):
-            if t is None or c is None:
-                rows.append((t, len(units(t)) if t else 0, 0, []))
-                continue
-            us = units(t)
-            gone = np.zeros(len(us) + 1, np.int64)
-            for x in c:
-                gone[x["first"]] += 1
-                gone[x["last"]] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            at = np.concatenate(([0], np.cumsum([len(u) for u in us])))
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            rows.append(("".join(u for u, g in zip(us, gone, strict=True) if not g), len(us), int(gone.sum()),
-                         [{"start": int(at[a]), "end": int(at[b])} for a, b in zip(edge[::2], edge[1::2], strict=True)]))
-        return pd.DataFrame(rows, columns=["text", "n_units", "n_removed", "removed"])
-
-    j = j.withColumn("_new", apply("text", "_cut"))
-    return j.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in names],
-                    *[F.col(f"_new.{c}").alias(c) for c in ("n_units", "n_removed", "removed") if c not in names])
+    extra = [c for c in ("n_units", "n_removed", "removed") if c not in names]
+
+    def apply(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                rows = [cut_text(t, c) for t, c in zip(one_by_one(part.column("text")),
+                                                       one_by_one(part.column("_cut")), strict=True)]
+                new = dict(zip(("text", "n_units", "n_removed", "removed"), zip(*rows, strict=True), strict=True))
+                kinds = {"text": pa.string(), "n_units": pa.int32(), "n_removed": pa.int32(),
+                         "removed": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+                cols = {c: part.column(c) for c in names if c != "text"} | {
+                    c: pa.array(new[c], kinds[c]) for c in ("text", *extra)}
+                yield pa.RecordBatch.from_arrays([cols[c] for c in [*names, *extra]], [*names, *extra])
+
+    kinds = {"n_units": "int", "n_removed": "int", "removed": "array<struct<start:int,end:int>>"}
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+                    + [f"{c} {kinds[c]}" for c in extra])
+    return j.select(*names, "_cut").mapInArrow(apply, out)
+
+
+def cut_text(text: str | None, cuts: list | None) -> tuple:
+    """``(text without the cut units, units, units removed, removed stretches)``."""
+    if text is None or cuts is None:
+        return text, len(units(text)) if text else 0, 0, []
+    us = units(text)
+    gone = np.zeros(len(us) + 1, np.int64)
+    for x in cuts:
+        gone[x["first"]] += 1
+        gone[x["last"]] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    at = np.concatenate(([0], np.cumsum([len(u) for u in us])))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+    return ("".join(u for u, g in zip(us, gone, strict=True) if not g), len(us), int(gone.sum()),
+            [{"start": int(at[a]), "end": int(at[b])} for a, b in zip(edge[::2], edge[1::2], strict=True)])
