@@ -10,23 +10,27 @@ The signature is cut into 32 bands of 5. A pair at similarity 0.8 misses all ban
 
 How a bucket is resolved without listing its pairs. Each bucket compares its members with one pivot. If all members then
 lie in one component, the bucket is done: more links inside it could not change a component. Otherwise pivots are drawn
-from the components other than its largest, compared with the members of the other components, and retired, twice as many each round,
-until the rest of the bucket lies in one component. Every pair of a bucket that is never compared either lies in one
-component already or is ruled out by the sizes of the two sets or by the triangle inequality of the Jaccard distance.
+from the components other than its largest, compared with the members of the other components, and retired, eight times as
+many each round, until the rest of the bucket lies in one component. Every pair of a bucket that is never compared
+either lies in one component already or is ruled out: by the sizes of the two sets, by the triangle inequality of the
+Jaccard distance to a common pivot, or (large buckets, :func:`settle_rare`) by the elements the two can share at all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, stage, unstage
+from quarry.llm.common import mix64, one_by_one, stage, unstage
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 PERCENT = 80
+#: Members above which a bucket is split by element frequency, and the nodes that may have an element that is rare.
+LARGE, RARE = 64, 64
 _RANK_BITS = np.uint64(48)
 _CHUNK = 1 << 16
 _STEP = 0x9E3779B97F4A7C15
@@ -92,36 +96,42 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, n, d1, d2, bands`` per row: set size, 128-bit digest of the set, band keys (null if empty)."""
     def run(batches):
         for b in batches:
-            ids, texts = b["doc_id"], b["text"]
-            at = 0
-            while at < len(texts):
+            ids, texts, at = b.column("doc_id"), one_by_one(b.column("text")), 0
+            while at < b.num_rows:
                 sets, total = [], 0
-                while at + len(sets) < len(texts) and total < 4 * _CHUNK:
-                    sets.append(shingles(texts.iloc[at + len(sets)], k))
+                while at + len(sets) < b.num_rows and total < 2 * _CHUNK:
+                    sets.append(shingles(next(texts), k))
                     total += len(sets[-1])
                 n = np.array([len(s) for s in sets])
-                flat = np.concatenate(sets)
-                sig = superminhash(flat, np.repeat(np.arange(len(sets)), n), len(sets))
-                keys = band_keys(sig)
+                sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
                 with np.errstate(over="ignore"):
                     digests = [[int((mix64(s + np.uint64(salt)) * mix64(s ^ np.uint64(salt))).sum(dtype=np.uint64)
                                     .view(np.int64)) for s in sets] for salt in (1, 2)]
-                yield pd.DataFrame({"doc_id": ids.iloc[at:at + len(sets)].array, "n": n, "d1": digests[0],
-                                    "d2": digests[1],
-                                    "bands": [list(x) if c else None for x, c in zip(keys, n, strict=True)]})
+                keys = [x if c else None for x, c in zip(band_keys(sig), n, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(sets)), pa.array(n), *(pa.array(d, pa.int64()) for d in digests),
+                     pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "bands"])
                 at += len(sets)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(run, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
+            .mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """``node, shingles`` per row, for confirming links."""
-    @F.pandas_udf("array<long>")
-    def sets(text: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, k).view(np.int64) for t in text])
+    def run(batches):
+        for b in batches:
+            texts, at = one_by_one(b.column("text")), 0
+            while at < b.num_rows:
+                sets, total = [], 0
+                while at + len(sets) < b.num_rows and total < 4 * _CHUNK:
+                    sets.append(shingles(next(texts), k).view(np.int64))
+                    total += len(sets[-1])
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(at, len(sets)),
+                                                  pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                at += len(sets)
 
-    return docs.select(F.col("doc_id").alias("node"), sets("text").alias("shingles"))
+    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -181,12 +191,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``inter`` and ``uni`` to the pairs ``a, b``, from the full shingle sets; JVM-side."""
+    """Adds ``inter`` and ``uni`` to the pairs ``a, b``, from the full shingle sets; JVM-side.
+
+    Pairs with a true ``large`` also get ``beside``: what ``b`` has and ``a`` has not.
+    """
     left = sets.select(F.col("node").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("nb"), F.col("shingles").alias("sb"))
     j = (pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
          .withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long")))
-    return j.select("a", "b", "inter", (F.size("sa") + F.size("sb") - F.col("inter")).cast("long").alias("uni"))
+    uni = (F.size("sa") + F.size("sb") - F.col("inter")).cast("long").alias("uni")
+    more = [F.when(F.col("large"), F.array_except("sb", "sa")).alias("beside")] if "large" in pairs.columns else []
+    return j.select("a", "b", "inter", uni, *more)
 
 
 def fits(n1: str, n2: str, percent: int):
@@ -194,6 +209,15 @@ def fits(n1: str, n2: str, percent: int):
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
+def one_of_each(members: DataFrame) -> DataFrame:
+    """Of buckets that hold the same nodes, as most bands of a pair do, one stays."""
+    print_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("pivot").alias("p"),
+                                        F.bit_xor(F.xxhash64("node")).alias("x"),
+                                        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    first = print_.groupBy("c", "p", "x", "y").agg(F.min("key").alias("k"))
+    return stage(members.join(first.select("k"), F.col("key") == F.col("k"), "left_semi"), "buckets")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
@@ -210,7 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = (banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
               .select(F.col("key").alias("k"), F.col("lo").alias("pivot")))
-    members = stage(banded.join(shared, F.col("key") == F.col("k")).select("key", "pivot", "node", "n"), "members")
+    members = one_of_each(stage(banded.join(shared, F.col("key") == F.col("k")).select("key", "pivot", "node", "n"),
+                                "members"))
     same_id = []
     if repeats:  # copies of an id with unlike texts are one node: tie their classes
         same_id = [usable.join(classes.select("d1", "d2", "node"), ["d1", "d2"])
@@ -239,6 +264,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def enough(common, n1, n2, percent: int):
+    """Whether two sets of these sizes that share at most ``common`` elements can reach the similarity."""
+    return 100 * common >= percent * (n1 + n2 - common)
+
+
+def settle_rare(at: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Splits the work on large torn buckets by what their members have besides their pivot.
+
+    Two members share at most what each shares with the pivot, plus the common elements outside of it that more than
+    ``RARE`` members have, plus the rarer ones they share. Pairs that need a rare element are found by joining on it,
+    which makes at most ``RARE`` rows an element and member. Pairs that need none are left to the pivots, and members
+    too poor in the rest for that leave their bucket. This is what keeps loose copies of a large group from being
+    compared with all of it.
+
+    Returns the remaining rows, with ``m`` elements a pair may share there, and the pairs ``a, b`` found by rare elements.
+    """
+    torn = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("c"),
+                                 F.min("n").alias("n0")).filter("c0 < c1").select(
+        F.col("key").alias("tk"), (F.col("c") > LARGE).alias("large"), "n0")
+    at = stage(at.join(torn, F.col("key") == F.col("tk")).drop("tk"), "unsettled")
+    crowd = stage(at.filter("large and inter is not null").select("pivot", "node", "n", "inter", "comp").distinct(),
+                  "crowd")
+    beside = seen.filter("beside is not null").select(F.col("a").alias("pivot"), F.col("b").alias("node"), "beside")
+    element = crowd.join(beside, ["pivot", "node"]).select("pivot", "node", F.explode("beside").alias("s"))
+    often = element.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = stage(element.join(often, ["pivot", "s"]).select("pivot", "node", "s", "df"), "elements")
+    common = known.filter(F.col("df") > RARE).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("more"))
+    size = stage(crowd.join(common, ["pivot", "node"], "left").select(
+        "pivot", "node", "n", "comp", (F.col("inter") + F.coalesce("more", F.lit(0))).alias("m")), "sizes")
+    rare = known.filter(F.col("df") <= RARE)
+    met = (rare.select("pivot", F.col("node").alias("a"), "s").join(
+        rare.select("pivot", F.col("node").alias("b"), "s"), ["pivot", "s"]).filter("a < b")
+        .groupBy("pivot", "a", "b").agg(F.count(F.lit(1)).alias("r")))
+    sides = [size.select(*[F.col(c).alias(f"{c}_{x}") for c in size.columns]) for x in "ab"]
+    met = (met.join(sides[0], (F.col("a") == F.col("node_a")) & (F.col("pivot") == F.col("pivot_a")))
+           .join(sides[1], (F.col("b") == F.col("node_b")) & (F.col("pivot") == F.col("pivot_b")))
+           .filter((F.col("comp_a") != F.col("comp_b")) & fits("n_a", "n_b", percent) & enough(
+               F.col("r") + F.least("m_a", "m_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct())
+    at = at.join(size.select(F.col("pivot").alias("mp"), F.col("node").alias("mn"), F.col("m").alias("mm")),
+                 (F.col("pivot") == F.col("mp")) & (F.col("node") == F.col("mn")), "left")
+    at = at.withColumn("m", F.when(F.col("large") & F.col("mm").isNotNull(), F.col("mm")).otherwise(F.col("n"))).filter(
+        ~F.col("large") | enough(F.col("m"), F.col("n"), F.col("n0"), percent))
+    return at.select("key", "node", "n", "near", "far", "comp", "m"), met
+
+
 def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats: bool) -> list[DataFrame]:
     """Links ``a, b`` that connect what the buckets in ``members`` (``key, pivot, node, n``) hold; see the module."""
     nodes = members.select("node").distinct()
@@ -247,19 +317,22 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
     if repeats:
         wanted = wanted.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     sets = stage(shingle_sets(wanted, k), "sets")
-    size = members.filter("node = pivot").select("key", F.col("n").alias("pn"))
-    first = (members.filter("node <> pivot").join(size, "key")
-             .filter(fits("n", "pn", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    size = members.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("n"))).alias("pn"),
+                                      F.count(F.lit(1)).alias("c"))
+    first = (members.filter("node <> pivot").join(size, "key").filter(fits("n", "pn", percent))
+             .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("c") > LARGE).alias("large")))
     seen = stage(verify(first, sets), "verified")
     links = [seen.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
     # bounds of the distance to the first pivot rule out pairs later on: exact if compared, else from the sizes
     dist = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"),
-                       (1 - F.col("inter") / F.col("uni")).alias("d"))
-    rest = (members.filter("node <> pivot").join(size, "key").join(dist, ["pivot", "node"], "left")
-            .select("key", "node", "n", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
+                       (1 - F.col("inter") / F.col("uni")).alias("d"), "inter")
+    if repeats:  # a node may have several sets, of which the bounds below know nothing
+        dist = dist.groupBy("pivot", "node").agg(F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("inter"))
+    rest = (members.filter("node <> pivot").join(size.select("key", "pn"), "key").join(dist, ["pivot", "node"], "left")
+            .select("key", "pivot", "node", "n", "inter", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
                     F.coalesce("d", F.lit(1.0)).alias("far")))
     rest = stage(rest, "rest")
-    tried, pivots, reach = seen.select("a", "b"), 1, 1 - percent / 100 + 1e-9
+    tried, pivots, reach, first_round = seen.select("a", "b"), 16, 1 - percent / 100 + 1e-9, True
     while True:
         edges = links[0]
         for x in links[1:]:
@@ -267,39 +340,46 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
         comp = stage(components(edges), "components")
         at = rest.join(comp.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").withColumn(
             "comp", F.coalesce("comp", "node")).drop("cn")
+        if first_round:
+            at, met = settle_rare(at, seen, percent)
+            by_rare = stage(verify(met.join(tried, ["a", "b"], "left_anti"), sets), "verified")
+            tried, first_round = tried.unionByName(by_rare.select("a", "b")), False
         # of the largest component of a bucket only those stay that something outside of it may reach
         crowd = at.groupBy("key", "comp").agg(
             F.count(F.lit(1)).alias("c"), F.min("near").alias("near"), F.max("far").alias("far"), F.min("n").alias("n0"),
-            F.max("n").alias("n1"))
+            F.max("n").alias("n1"), F.max("m").alias("m1"))
         big = crowd.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select(
             F.col("key").alias("bk"), F.col("m.comp").alias("big"))
         outside = (crowd.join(big, (F.col("key") == F.col("bk")) & (F.col("comp") != F.col("big")))
                    .groupBy("key", "big").agg((F.min("near") - reach).alias("from"), (F.max("far") + reach).alias("to"),
-                                              F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+                                              F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.max("m1").alias("m1"))
                    .withColumnRenamed("key", "ok"))
         within = (F.col("far") >= F.col("from")) & (F.col("near") <= F.col("to")) & (
-            100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n"))
+            100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n")) & (
+            enough(F.least("m", "m1"), F.col("n"), F.col("n0"), percent))
         at = stage(at.join(outside, (F.col("key") == F.col("ok")) & ((F.col("comp") != F.col("big")) | within))
-                   .select("key", "node", "n", "near", "far", "comp", "big"), "torn")
+                   .select("key", "node", "n", "m", "near", "far", "comp", "big"), "torn")
         if at.isEmpty():
-            return links
+            return [*links, by_rare.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         order = Window.partitionBy("key").orderBy("comp", "node")
         picked = (at.filter("comp <> big").withColumn("rank", F.row_number().over(order))
                   .filter(F.col("rank") <= pivots)
                   .select("key", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"),
-                          F.col("near").alias("pnear"), F.col("far").alias("pfar")))
+                          F.col("m").alias("pm"), F.col("near").alias("pnear"), F.col("far").alias("pfar")))
         picked = stage(picked, "pivots")
         gone = picked.select("key", F.col("p").alias("node"))
         pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "pn", percent))
-                 .filter((F.col("near") - F.col("pfar") <= reach) & (F.col("pnear") - F.col("far") <= reach))
+                 .filter((F.col("near") - F.col("pfar") <= reach) & (F.col("pnear") - F.col("far") <= reach)
+                         & enough(F.least("m", "pm"), F.col("n"), F.col("pn"), percent))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
                  .join(tried, ["a", "b"], "left_anti"))
         new = stage(verify(pairs, sets), "verified")
         links = [comp.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")),
+                 by_rare.filter(f"100 * inter >= {percent} * uni").select("a", "b"),
                  new.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         tried = tried.unionByName(new.select("a", "b"))
         rest = stage(at.drop("comp", "big").join(gone, ["key", "node"], "left_anti"), "rest")
-        pivots *= 2
+        pivots *= 8
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
