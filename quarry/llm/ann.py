@@ -25,11 +25,11 @@ from pyspark.sql.types import BinaryType
 from quarry.llm.common import broadcast_if_small, stage, unstage
 
 #: Neighbours a node keeps; trees and leaf size of the start; members introduced at once; when to stop.
-NEIGHBOURS, TREES, LEAF, LIST = 16, 5, 1024, 96
-ROUNDS, SETTLED = 6, 0.04
-OFFERS = 6
+NEIGHBOURS, TREES, LEAF, LIST = 24, 5, 1024, 96
+ROUNDS, SETTLED = 8, 0.02
+OFFERS = 8
 #: Pool of a query and rounds of its search.
-POOL, HOPS = 96, 12
+POOL, HOPS = 256, 16
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
