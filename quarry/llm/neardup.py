@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, one_by_one, stage, unstage
+from quarry.llm.common import broadcast_if_small, mix64, one_by_one, stage, unstage
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -311,7 +311,7 @@ def settle_rare(at: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame
 
 def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats: bool) -> list[DataFrame]:
     """Links ``a, b`` that connect what the buckets in ``members`` (``key, pivot, node, n``) hold; see the module."""
-    nodes = members.select("node").distinct()
+    nodes = broadcast_if_small(stage(members.select("node").distinct(), "nodes"), 24)  # else the texts are shuffled
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         nodes, F.col("doc_id") == F.col("node"), "left_semi")
     if repeats:
