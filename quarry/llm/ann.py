@@ -29,7 +29,7 @@ NEIGHBOURS, TREES, LEAF, LIST = 24, 5, 1024, 96
 ROUNDS, SETTLED = 8, 0.02
 OFFERS = 8
 #: Pool of a query and rounds of its search.
-POOL, HOPS = 256, 16
+POOL, HOPS = 160, 16
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
