@@ -269,6 +269,17 @@ def enough(common, n1, n2, percent: int):
     return 100 * common >= percent * (n1 + n2 - common)
 
 
+def unbounded(which) -> list:
+    """Aggregates over ``n, pn`` of the rows ``which``: the largest set smaller than the pivot's, the smallest other."""
+    return [F.max(F.when(which & (F.col("n") < F.col("pn")), F.col("n"))).alias("below"),
+            F.min(F.when(which & (F.col("n") >= F.col("pn")), F.col("n"))).alias("above")]
+
+
+def meets_unbounded(percent: int):
+    """Whether a set whose size fits the pivot's can reach, by size, one of those that :func:`unbounded` sums up."""
+    return F.coalesce(fits("n", "below", percent), F.lit(False)) | F.coalesce(fits("n", "above", percent), F.lit(False))
+
+
 def settle_rare(at: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Splits the work on large torn buckets by what their members have besides their pivot.
 
@@ -278,11 +289,15 @@ def settle_rare(at: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame
     too poor in the rest for that leave their bucket. This is what keeps loose copies of a large group from being
     compared with all of it.
 
-    Returns the remaining rows, with ``m`` elements a pair may share there, and the pairs ``a, b`` found by rare elements.
+    All of this holds only between members that were compared with the pivot. One whose size does not fit the pivot's was
+    not, so its pairs are bounded by the sizes alone, and whoever may reach such a member by size stays.
+
+    Returns the remaining rows, with ``m`` elements that a pair of bounded members may share there (null: not bounded),
+    and the pairs ``a, b`` found by rare elements.
     """
     torn = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("c"),
-                                 F.min("n").alias("n0")).filter("c0 < c1").select(
-        F.col("key").alias("tk"), (F.col("c") > LARGE).alias("large"), "n0")
+                                 F.min("n").alias("n0"), *unbounded(F.col("inter").isNull())).filter("c0 < c1").select(
+        F.col("key").alias("tk"), (F.col("c") > LARGE).alias("large"), "n0", "below", "above")
     at = stage(at.join(torn, F.col("key") == F.col("tk")).drop("tk"), "unsettled")
     crowd = stage(at.filter("large and inter is not null").select("pivot", "node", "n", "inter", "comp").distinct(),
                   "crowd")
@@ -304,9 +319,9 @@ def settle_rare(at: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame
                F.col("r") + F.least("m_a", "m_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct())
     at = at.join(size.select(F.col("pivot").alias("mp"), F.col("node").alias("mn"), F.col("m").alias("mm")),
                  (F.col("pivot") == F.col("mp")) & (F.col("node") == F.col("mn")), "left")
-    at = at.withColumn("m", F.when(F.col("large") & F.col("mm").isNotNull(), F.col("mm")).otherwise(F.col("n"))).filter(
-        ~F.col("large") | enough(F.col("m"), F.col("n"), F.col("n0"), percent))
-    return at.select("key", "node", "n", "near", "far", "comp", "m"), met
+    at = at.withColumn("m", F.when(F.col("large"), F.col("mm"))).filter(
+        F.col("m").isNull() | enough(F.col("m"), F.col("n"), F.col("n0"), percent) | meets_unbounded(percent))
+    return at.select("key", "node", "n", "pn", "near", "far", "comp", "m"), met
 
 
 def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats: bool) -> list[DataFrame]:
@@ -329,7 +344,7 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
     if repeats:  # a node may have several sets, of which the bounds below know nothing
         dist = dist.groupBy("pivot", "node").agg(F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("inter"))
     rest = (members.filter("node <> pivot").join(size.select("key", "pn"), "key").join(dist, ["pivot", "node"], "left")
-            .select("key", "pivot", "node", "n", "inter", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
+            .select("key", "pivot", "node", "n", "pn", "inter", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
                     F.coalesce("d", F.lit(1.0)).alias("far")))
     rest = stage(rest, "rest")
     tried, pivots, reach, first_round = seen.select("a", "b"), 16, 1 - percent / 100 + 1e-9, True
@@ -347,30 +362,33 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
         # of the largest component of a bucket only those stay that something outside of it may reach
         crowd = at.groupBy("key", "comp").agg(
             F.count(F.lit(1)).alias("c"), F.min("near").alias("near"), F.max("far").alias("far"), F.min("n").alias("n0"),
-            F.max("n").alias("n1"), F.max("m").alias("m1"))
+            F.max("n").alias("n1"), F.max("m").alias("m1"), *unbounded(F.col("m").isNull()))
         big = crowd.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select(
             F.col("key").alias("bk"), F.col("m.comp").alias("big"))
         outside = (crowd.join(big, (F.col("key") == F.col("bk")) & (F.col("comp") != F.col("big")))
                    .groupBy("key", "big").agg((F.min("near") - reach).alias("from"), (F.max("far") + reach).alias("to"),
-                                              F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.max("m1").alias("m1"))
+                                              F.min("n0").alias("n0"), F.max("n1").alias("n1"), F.max("m1").alias("m1"),
+                                              F.max("below").alias("below"), F.min("above").alias("above"))
                    .withColumnRenamed("key", "ok"))
         within = (F.col("far") >= F.col("from")) & (F.col("near") <= F.col("to")) & (
             100 * F.col("n") >= percent * F.col("n0")) & (100 * F.col("n1") >= percent * F.col("n")) & (
-            enough(F.least("m", "m1"), F.col("n"), F.col("n0"), percent))
+            F.col("m").isNull() | meets_unbounded(percent)
+            | (F.col("m1").isNotNull() & enough(F.least("m", "m1"), F.col("n"), F.col("n0"), percent)))
         at = stage(at.join(outside, (F.col("key") == F.col("ok")) & ((F.col("comp") != F.col("big")) | within))
-                   .select("key", "node", "n", "m", "near", "far", "comp", "big"), "torn")
+                   .select("key", "node", "n", "pn", "m", "near", "far", "comp", "big"), "torn")
         if at.isEmpty():
             return [*links, by_rare.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         order = Window.partitionBy("key").orderBy("comp", "node")
         picked = (at.filter("comp <> big").withColumn("rank", F.row_number().over(order))
                   .filter(F.col("rank") <= pivots)
-                  .select("key", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"),
+                  .select("key", F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("np"),
                           F.col("m").alias("pm"), F.col("near").alias("pnear"), F.col("far").alias("pfar")))
         picked = stage(picked, "pivots")
         gone = picked.select("key", F.col("p").alias("node"))
-        pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "pn", percent))
+        pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "np", percent))
                  .filter((F.col("near") - F.col("pfar") <= reach) & (F.col("pnear") - F.col("far") <= reach)
-                         & enough(F.least("m", "pm"), F.col("n"), F.col("pn"), percent))
+                         & (F.col("m").isNull() | F.col("pm").isNull()
+                            | enough(F.least("m", "pm"), F.col("n"), F.col("np"), percent)))
                  .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
                  .join(tried, ["a", "b"], "left_anti"))
         new = stage(verify(pairs, sets), "verified")

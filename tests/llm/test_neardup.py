@@ -70,6 +70,27 @@ def test_large_buckets_are_split_by_rare_elements(spark, rows, k, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(once, k)
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_large_bucket_keeps_links_of_members_that_do_not_fit_its_pivot(spark, monkeypatch, seed):
+    monkeypatch.setattr(neardup, "LARGE", 1)
+    monkeypatch.setattr(neardup, "RARE", 2)
+    rnd, words = random.Random(seed), [f"w{i}" for i in range(400)]
+    if seed is None:  # 80 and 95 link, 95 and 115 link, 80 and 115 do not fit
+        sets = [words[:80], words[:95], words[:115]]
+    else:  # chains that grow and shrink away from the pivot, with a few words replaced
+        sets = [words[:80]] + [[rnd.choice(words) if rnd.random() < 0.02 else w for w in words[:n]]
+                               for n in rnd.sample(range(40, 170), 40)]
+    rows = [(i, " ".join(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame([(7, 0, i, len(s)) for i, (_, s) in enumerate(brute_sets(rows, 1))],
+                                    "key long, pivot long, node long, n long")
+    links = neardup.resolve(spark.createDataFrame(rows, "doc_id long, text string"), members, 1, 80, False)
+    edges = links[0]
+    for x in links[1:]:
+        edges = edges.unionByName(x)
+    comp = {r.node: r.comp for r in neardup.components(edges).collect()}
+    assert {i: comp.get(i, i) for i, _ in rows} == {i: c for i, _, c in brute(rows, 1)}
+
+
 def test_large_group_of_near_copies(spark):
     rnd = random.Random(1)
     base = [f"w{rnd.randint(0, 500)}" for _ in range(60)]
