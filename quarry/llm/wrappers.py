@@ -268,9 +268,9 @@ def fold(kids: list[Node]) -> list[Node]:
         first: dict[str, Node] = {}
         for node in out:
             a = first.setdefault(node.label, node)
+            a.many = a.optional = True
             if a is not node:
                 join_into(a, node)
-                a.many = a.optional = True
         out = list(first.values())
     return out
 
@@ -434,11 +434,39 @@ def classify(root: Node) -> set[int]:
 PLAIN = set("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption article main section body".split())
 
 
-def matched(page: Node, wrapper: Node, chosen: set[int]) -> list[int]:
-    """Numbers of the page's leaves whose place in the wrapper was chosen, by aligning the page with it."""
+def turns(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+    """Matches the children ``x`` of a page with ``y`` of a wrapper as a regular expression: a repeated child may be
+    followed by any repeated child again. As many of ``x`` as possible are matched, in as few turns as a scan finds."""
+    n, m = len(x), len(y)
+    first = next((j for j in range(m) if y[j].many), m)
+    back = [first if w.many else j + 1 for j, w in enumerate(y)]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i][j + 1], best[i + 1][j],
+                             best[i + 1][back[j]] + 1 if x[i].label == y[j].label else 0)
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i].label == y[j].label and best[i][j] == best[i + 1][back[j]] + 1:
+            out.append((x[i], y[j]))
+            i, j = i + 1, j + 1 if best[i + 1][j + 1] == best[i + 1][back[j]] else back[j]
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def matched(page: Node, wrapper: Node, chosen: set[int]) -> list[int] | None:
+    """Numbers of the page's leaves whose place in the wrapper was chosen, by aligning the page with it.
+
+    None if a part of the page has no place in the wrapper beside chosen ones.
+    """
     place: set[int] = set()
+    whole = True
 
     def match(node, w):
+        nonlocal whole
         if node.kids is None:
             if id(w) in chosen:
                 place.add(id(node))
@@ -450,17 +478,24 @@ def matched(page: Node, wrapper: Node, chosen: set[int]) -> list[int]:
             for j in range(m - 1, -1, -1):
                 best[i][j] = (best[i + 1][j + 1] + 1 if x[i].label == y[j].label
                               else max(best[i + 1][j], best[i][j + 1]))
+        if best[0][0] < n:
+            found = turns(x, y)
+            if len(found) < n and any(id(leaf) in chosen for leaf in leaves_of(w)):
+                whole = False
+            for a, b in found:
+                match(a, b)
+            return
         i = j = 0
         while i < n and j < m:
             if x[i].label == y[j].label:
                 match(x[i], y[j])
                 i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
             else:
                 j += 1
 
     match(page, wrapper)
+    if not whole:
+        return None
     return [i for i, leaf in enumerate(leaves_of(page)) if id(leaf) in place]
 
 
@@ -546,8 +581,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null or empty html gives an empty text. Pages without a host share one wrapper. Repeated rows and null ids are
     extracted like any row. An empty table gives an empty result. Texts are never shortened. Fixed texts count as
     template only on ``FIXED_PAGES`` pages or more, and never in plain paragraphs or headings of the article, so hosts
-    with few pages, or with copies of one page, lose nothing by it. A page for which its host's wrapper chooses nothing
-    is judged by its own structure.
+    with few pages, or with copies of one page, lose nothing by it. A page for which its host's wrapper chooses nothing,
+    or which has parts that the wrapper does not match beside chosen ones, is judged by its own structure.
     """
     parsed = stage(scanned(pages.select("page_id", "url", host(F.col("url")).alias("host"),
                                         F.coalesce("html", F.lit("")).alias("html"))), "parsed")
@@ -570,7 +605,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     shapes = parsed.select("host", "spec").distinct()
     chosen = stage(shapes.join(learnt, "host").mapInPandas(choose, "h string, s string, chosen array<int>"), "chosen")
-    size = chosen.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s") + 4 * F.size("chosen")).alias("w")).first()
+    size = chosen.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s") + 4 * F.greatest(F.size("chosen"), F.lit(0))).alias("w")).first()
     j = parsed.join(broadcast_if_small(chosen, 64 + (size["w"] or 0), size["n"]),
                     (F.col("host") == F.col("h")) & (F.col("spec") == F.col("s")), "left")
 

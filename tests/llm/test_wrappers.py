@@ -1,6 +1,7 @@
 """Wrappers: alignment, and main text of hand-made templates, hosts and broken pages."""
 
 import json
+import random
 
 import pytest
 
@@ -52,6 +53,35 @@ def test_merge_does_not_depend_on_order():
     assert w.merge(trees) == w.merge(trees[::-1])
 
 
+def by_wrapper(pages):
+    """The text of pages of one host, without Spark and without the fallback."""
+    read = [w.read_page(p) for p in pages]
+    tree = w.load(w.merge([w.dump(w.fold_all(w.parse(p)[0])) for p in pages]))
+    chosen = w.classify(tree)
+    out = []
+    for spec, texts, leaf, _ in read:
+        own = w.matched(w.build(json.loads(spec), iter(lambda: ["", 1, 0, 0], None)), tree, chosen)
+        out.append([t for t, i in zip(texts, leaf, strict=True) if i in own])
+    return out
+
+
+def test_repeated_groups_match_again():
+    pages = ["<article><p>a</p><ul><li>b</ul><p>c</p></article>", "<article><ul><li>d</ul><p>e</p><ul><li>f</ul></article>"]
+    assert by_wrapper(pages) == [["a", "b", "c"], ["d", "e", "f"]]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_child_of_an_article_has_a_place_in_the_wrapper(seed):
+    rnd = random.Random(seed)
+    tags = ["p", "h2", "pre", "blockquote", "h3", "table", "h4"][:rnd.randint(2, 7)]
+    want = [[f"text {i} {j}" for j in range(rnd.randint(1, rnd.choice([6, 60])))] for i in range(rnd.randint(2, 12))]
+    pages = []
+    for texts in want:
+        kinds = [rnd.choice(tags) for _ in texts]
+        pages.append("<nav>menu</nav><article>" + "".join(f"<{k}>{t}</{k}>" for k, t in zip(kinds, texts, strict=True)))
+    assert by_wrapper(pages) == want
+
+
 def test_hosts(spark):
     rows = [(i, f"http://a.com/{i}", PAGE.format(i=i)) for i in range(12)]
     rows += [(100 + i, f"http://b.com/{i}", article(i, i % 5)) for i in range(12)]
