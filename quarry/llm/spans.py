@@ -6,6 +6,10 @@ space, so they concatenate to the text. A span is the shortest run of consecutiv
 covered by a span that also occurs earlier is removed. Earlier means in a smaller ``doc_id`` or earlier in the same
 text. Cutting at clause marks as well as sentence ends lets a passage pasted into the middle of a sentence line up with
 its other copies after at most one clause.
+
+Clauses of ``WINDOW`` words or more are cut further, at places their words choose: after the word of least hash of every
+``WINDOW`` neighbouring words of the clause. Copies of a passage choose alike but for windows that reach out of it, and no
+unit is longer than a window, so at 25 words a passage of 47 is found wherever it starts and whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -24,6 +28,9 @@ MIN_WORDS = 25
 _ROWS = 256
 #: A unit runs to a mark or line end, or to a capitalised word, and takes the white space after it along.
 UNIT = re.compile(r"\s*\S(?:[^.!?,;:\n\s]|[.!?,;:](?=\S)|[^\S\n]+(?![^\W\d_a-zß-öø-ÿ]))*[.!?,;:]*\s*")
+#: Words of which one ends a unit; a word with the white space around it.
+WINDOW = 8
+PIECE = re.compile(r"\s*\S+\s*")
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
 
 
@@ -32,7 +39,39 @@ def units(text: str) -> list[str]:
     got = UNIT.findall(text)
     if sum(map(len, got)) != len(text):  # a text of white space alone
         got = [text] if text else []
-    return got
+    pieces = [PIECE.findall(u) if len(u) >= 2 * WINDOW - 1 else [] for u in got]
+    pieces = [p if len(p) >= WINDOW else [] for p in pieces]
+    ends = chosen_ends(pieces)
+    if not ends:
+        return got
+    out, at, k = [], 0, 0  # at: words of long clauses passed, k: chosen ends passed
+    for u, p in zip(got, pieces, strict=True):
+        if not p:
+            out.append(u)
+            continue
+        start = 0
+        while k < len(ends) and ends[k] <= at + len(p):
+            out.append("".join(p[start:ends[k] - at]))
+            start, k = ends[k] - at, k + 1
+        if start < len(p):
+            out.append("".join(p[start:]))
+        at += len(p)
+    return out
+
+
+def chosen_ends(clauses: list[list[str]]) -> list[int]:
+    """Ends, in words over all ``clauses``, at the last word of least hash of each window inside a clause."""
+    words = [w.strip() for p in clauses for w in p]
+    if not words:
+        return []
+    h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    clause = np.repeat(np.arange(len(clauses)), [len(p) for p in clauses])
+    at = np.flatnonzero(clause[WINDOW - 1:] == clause[:len(clause) - WINDOW + 1])
+    least, last = h[at], at.copy()
+    for d in range(1, WINDOW):
+        lower = h[at + d] <= least
+        least, last = np.where(lower, h[at + d], least), np.where(lower, at + d, last)
+    return (np.unique(last) + 1).tolist()
 
 
 def span_table(text: str, min_words: int = MIN_WORDS):

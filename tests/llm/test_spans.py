@@ -80,6 +80,39 @@ def test_passage_pasted_into_sentences_is_caught(spark):
     assert all(not any(s in got[i].text for s in kept) for i in range(1, 20))
 
 
+def test_passage_without_marks_is_caught_wherever_it_starts():
+    rnd = random.Random(4)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+
+    def keys(text):
+        _, _, h1, h2 = spans.span_table(text)
+        return set(zip(h1.tolist(), h2.tolist(), strict=True))
+
+    for i in range(400):
+        passage = words(47 + i % 5)
+        a, b = (f"{words(rnd.randint(1, 40))} {passage} {words(rnd.randint(1, 40))}. {words(30)}." for _ in range(2))
+        assert keys(a) & keys(b)
+        assert "".join(spans.units(a)) == a and max(len(u.split()) for u in spans.units(a)) <= 8
+    longest = spans.units("same " * 50)
+    assert "".join(longest) == "same " * 50 and max(len(u.split()) for u in longest) <= 8
+
+
+def test_51_word_passage_without_marks_is_cut(spark):
+    rnd = random.Random(8)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    passage = words(51)
+    rows = [(i, f"{words(9 + i)} {passage} {words(20)}. {words(30)}.") for i in range(10)]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    middle = " ".join(passage.split()[8:-14])
+    assert middle in got[0].text and got[0].n_removed == 0
+    assert all(middle not in got[i].text and got[i].n_removed > 0 for i in range(1, 10))
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, n_removed int")
     assert spans.dedup_spans(df.limit(0)).count() == 0
