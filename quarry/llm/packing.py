@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(vocab_json: str):
-    """A fast byte-level BPE encoder of the vocabulary in a tokenizer file; control strings are ordinary text.
+    """A fast byte-level BPE encoder of the vocabulary in a tokenizer file, with the file's added tokens.
 
     The file's merges are listed in the order of their results' ids, so its vocabulary is a table of ranks.
     """
@@ -50,15 +50,20 @@ def encoder(vocab_json: str):
 
     with open(vocab_json, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", []) if x["special"]}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     code = {c: b for b, c in enumerate(byte_alphabet())}
     ranks = {bytes(code[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("vocab", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocab", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(text: str | None, vocab_json: str, end_id: int = END_ID) -> np.ndarray:
-    """Ids of a text (null: empty), then the end id."""
-    ids = encoder(vocab_json).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+def token_ids(text: str | None, vocab_json: str, end_id: int = END_ID, added: bool = False) -> np.ndarray:
+    """Ids of a text (null: empty), then the end id.
+
+    With ``added``, the file's added tokens get their ids, as the tokenizers library gives by default; packing does so.
+    Without, they are ordinary text.
+    """
+    ids = (encoder(vocab_json).encode_to_numpy(text, allowed_special="all" if added else set(), disallowed_special=())
+           if text else np.zeros(0, np.uint32))
     return np.append(ids, end_id).astype("<u4")
 
 
@@ -76,7 +81,7 @@ def pieces(docs: DataFrame, vocab_json: str, capacity: int = CAPACITY, end_id: i
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
-                ids = token_ids(t, vocab_json, end_id)
+                ids = token_ids(t, vocab_json, end_id, added=True)
                 d = None if pd.isna(d) else int(d)
                 rows += [(d, i, s, n, zlib.crc32(ids[s:s + n].tobytes()))
                          for i, (s, n) in enumerate(cuts(len(ids), capacity))]
@@ -275,7 +280,7 @@ def sequences(docs: DataFrame, placed: DataFrame, vocab_json: str, end_id: int =
     """
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
-        return pd.Series([token_ids(t, vocab_json, end_id).astype(np.int32) for t in text])
+        return pd.Series([token_ids(t, vocab_json, end_id, added=True).astype(np.int32) for t in text])
 
     j = placed.join(docs.select(F.col("doc_id").alias("d"), ids("text").alias("all")).dropDuplicates(["d"]),
                     F.col("doc_id") == F.col("d"))

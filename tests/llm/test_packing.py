@@ -31,6 +31,22 @@ def test_ids_equal_the_tokenizers_library(tokenizer):
         assert packing.token_ids(t, VOCAB).tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0]
 
 
+def test_added_tokens_get_the_ids_of_the_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    default, rnd = Tokenizer.from_file(VOCAB), random.Random(10)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "<|EndOfText|>"]
+    texts += ["".join(rnd.choice(["a", " ", "é", "\n", "<|", "<|endoftext|>"]) for _ in range(rnd.randint(1, 30)))
+              for _ in range(300)]
+    want = [default.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [64, 50256, 65, 0]
+    for t, ids in zip(texts, want, strict=True):
+        assert packing.token_ids(t, VOCAB, added=True).tolist() == ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(df, VOCAB).collect()}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_only_long_documents_are_cut():
     assert packing.cuts(2048, 2048) == [(0, 2048)]
     assert packing.cuts(2049, 2048) == [(0, 1), (1, 2048)]
