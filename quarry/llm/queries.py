@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bytebpe, chat, fixity, neardup, packing, quality, spans, urls, wrappers
+from quarry.llm import (ann, bytebpe, chat, fixity, ftrl, neardup, packing, quality, repair, spans, spelling, urls,
+                        wrappers)
 from quarry.llm.common import stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +140,24 @@ def op10(spark, sf_dir):
     return chat.read_back(chat.format_chats(rows))
 
 
+@_query("op11_ftrl_quality_classifier")
+def op11(spark, sf_dir):
+    """Every document's quality score, learned from the labels that are not held out."""
+    return ftrl.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    """Every frequent word of ``documents`` with its near words and the form it is a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    """Faults, cheapest repair and digest of every conversation after planted damage."""
+    return repair.audit_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
