@@ -5,11 +5,12 @@ together reach the longer length minus one. Words are laid into matrices of code
 nothing, once from the left and once from the right; comparing two blocks of rows gives the prefix and suffix lengths
 of all their pairs at once.
 
-Which blocks meet. Of prefix and suffix one holds at least half of what the pair shares, so a pair of equal length ``m``
-agrees in its first or its last ``m // 2`` code points, and a pair of lengths ``m`` and ``m + 1`` in its first or last
-``(m + 1) // 2``. Words are dealt by these halves. A group of many words is cut into tiles by a hash and every pair of
-its tiles is a task of its own, so no task holds a group. A pair found by its suffix counts only if its prefix is too
-short to have found it, so each counts once, and links are summed up per word before they are shuffled.
+Which blocks meet. A pair shares at least ``t`` code points, ``m - 1`` for two words of length ``m`` and ``m`` for lengths
+``m`` and ``m + 1``. The possible prefix lengths 0 to ``t`` are cut into ``PARTS`` ranges of ``w``. A pair whose prefix lies
+in the range from ``i w`` agrees in its first ``i w`` and its last ``t - (i + 1) w + 1`` code points, about three quarters
+of the words, and meets in the group of these; only there does it count, so each pair counts once. A group of many words
+is cut into tiles by a hash and every pair of its tiles is a task of its own, so no task holds a group. Links are summed
+up per word before they are shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ DAMAGE = 97
 #: Words of a tile, and code points that a comparison lays out at once.
 TILE = 1024
 _CELLS = 1 << 22
+#: Ranges of the common prefix's length by which words are dealt.
+PARTS = 4
 _HELD = 1 << 17
 
 
@@ -74,33 +77,37 @@ def _counts(total: Counter) -> pa.RecordBatch:
                                       ["word", "n"])
 
 
-def halves(words: DataFrame) -> DataFrame:
-    """``kind, m, end, half, side, word, n``: every group a word belongs to.
+def groups(words: DataFrame) -> DataFrame:
+    """``kind, m, part, ends, side, word, n``: every group a word belongs to.
 
     Kind 0 pairs words of length ``m``; kind 1 pairs those of length ``m`` (side 0) with those of ``m + 1`` (side 1).
     """
     size = F.length("word")
 
-    def group(kind, m, end):
-        keep = F.floor((m + kind) / 2).cast("int")
-        half = F.substring("word", F.lit(1), keep) if end == 0 else F.substring("word", size - keep + 1, keep)
+    def group(kind, m, part):
+        shared, wide = m - 1 + kind, F.ceil((m + kind) / PARTS).cast("int")
+        head, tail = part * wide, F.greatest(shared - (part + 1) * wide + 1, F.lit(0))
+        # a digit is no letter, so the two ends cannot run together
+        ends = F.concat(F.substring("word", F.lit(1), head), F.lit("0"), F.substring("word", size - tail + 1, tail))
         side = F.lit(0) if kind == 0 else (size - m).cast("int")
-        return F.struct(F.lit(kind).alias("kind"), m.cast("int").alias("m"), F.lit(end).alias("end"),
-                        half.alias("half"), side.alias("side"))
+        return F.when(head <= shared, F.struct(
+            F.lit(kind).alias("kind"), m.cast("int").alias("m"), F.lit(part).alias("part"), ends.alias("ends"),
+            side.alias("side")))
 
-    every = F.array(*[group(kind, m, end) for kind, m in ((0, size), (1, size), (1, size - 1)) for end in (0, 1)])
-    return words.select("word", "n", F.explode(every).alias("g")).select("g.*", "word", "n")
+    every = F.array(*[group(kind, m, part) for kind, m in ((0, size), (1, size), (1, size - 1))
+                      for part in range(PARTS)])
+    return words.select("word", "n", F.explode(F.array_compact(every)).alias("g")).select("g.*", "word", "n")
 
 
-_GROUP = ["kind", "m", "end", "half"]
+_GROUP = ["kind", "m", "part", "ends"]
 
 
 def tiles(words: DataFrame, tile: int = TILE) -> DataFrame:
-    """The rows of :func:`halves` that can meet another, each once for every pair of tiles it takes part in.
+    """The rows of :func:`groups` that can meet another, each once for every pair of tiles it takes part in.
 
     ``t0, t1`` number the tile pair; in a pair of two tiles ``side`` tells them apart, in a tile by itself it is 0.
     """
-    rows = halves(words)
+    rows = groups(words)
     # how many words a group has on each side; groups without a pair go
     sizes = (rows.groupBy(*_GROUP).agg(F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1)
                                        .alias("c1"))
@@ -140,11 +147,12 @@ def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), x.shape[1], same.argmin(axis=1))
 
 
-def near_pairs(group: np.ndarray, side: np.ndarray, alone: np.ndarray, skip: np.ndarray, words: list[str]):
+def near_pairs(group: np.ndarray, side: np.ndarray, alone: np.ndarray, low: np.ndarray, high: np.ndarray,
+               words: list[str]):
     """Index pairs of rows one edit apart. Rows are sorted by ``group`` and ``side``.
 
-    ``alone`` marks groups that are paired with themselves, others pair side 0 with side 1. ``skip`` is the prefix
-    length from which a pair is left to its prefix group. Pairs are laid out in bounded blocks.
+    ``alone`` marks groups that are paired with themselves, others pair side 0 with side 1. A pair counts in a group if
+    its prefix length is in the group's range ``[low, high)``. Pairs are laid out in bounded blocks.
     """
     n = len(words)
     rows = np.arange(n)
@@ -163,7 +171,7 @@ def near_pairs(group: np.ndarray, side: np.ndarray, alone: np.ndarray, skip: np.
         i = np.searchsorted(total, k, side="right") - 1
         j = start[i] + k - total[i]
         p = common(left[i], left[j])
-        keep = p < skip[i]
+        keep = (p >= low[i]) & (p < high[i])
         i, j, p = i[keep], j[keep], p[keep]
         s = common(flip[i], flip[j])
         hit = p + s >= np.maximum(size[i], size[j]) - 1
@@ -197,11 +205,10 @@ def links(paired: DataFrame) -> DataFrame:
             new = (part[key] != part[key].shift()).any(axis=1)
             group = new.cumsum().to_numpy()
             words, n = part["word"].tolist(), part["n"].to_numpy()
-            kind, end = part["kind"].to_numpy(), part["end"].to_numpy()
+            kind, at = part["kind"].to_numpy(np.int64), part["part"].to_numpy(np.int64)
             alone = (kind == 0) & (part["t0"] == part["t1"]).to_numpy()
-            half = (part["m"].to_numpy(np.int64) + kind) // 2
-            skip = np.where(end == 0, np.iinfo(np.int64).max, half)
-            for i, j in near_pairs(group, part["side"].to_numpy(), alone, skip, words):
+            wide = -(-(part["m"].to_numpy(np.int64) + kind) // PARTS)
+            for i, j in near_pairs(group, part["side"].to_numpy(), alone, at * wide, (at + 1) * wide, words):
                 if not len(i):
                     continue
                 a, b = np.concatenate((i, j)), np.concatenate((j, i))
