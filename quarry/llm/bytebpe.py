@@ -16,9 +16,11 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import one_by_one
 from quarry.llm.packing import byte_alphabet
 
 #: Pre-tokens remembered per Python worker before the memory of them is dropped and built anew.
@@ -141,13 +143,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for b in batches:
             rows = []
-            for t in b["text"]:
+            for t in one_by_one(b.column("text")):
                 ids = c.packed(t)
                 back = c.decode(np.frombuffer(ids, "<u4").tolist())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
+            if not rows:
+                continue
+            found = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()),
+                                                    strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *found],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

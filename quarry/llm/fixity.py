@@ -88,7 +88,7 @@ def tree(leaf: DataFrame, longest: int, range_bytes: int = RANGE_BYTES) -> DataF
 
     level = node(leaf.withColumnRenamed("offset", "at"), F.col("at") / range_bytes)
     out, top, number = level.select(F.lit(0).alias("level"), "*"), longest // range_bytes, 0
-    while top:
+    while top > 0:  # -1 without any record
         level = node(level.withColumnRenamed("idx", "at"), F.col("at") / FAN_OUT)
         top, number = top // FAN_OUT, number + 1
         out = out.unionByName(level.select(F.lit(number).alias("level"), "*"))

@@ -16,11 +16,12 @@ from bisect import bisect_right, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage
+from quarry.llm.common import one_by_one, stage
 
 CAPACITY = 2048
 END_ID = 0
@@ -80,16 +81,19 @@ def pieces(docs: DataFrame, vocab_json: str, capacity: int = CAPACITY, end_id: i
     def run(batches):
         for b in batches:
             rows = []
-            for d, t in zip(b["doc_id"], b["text"], strict=True):
+            for at, t in enumerate(one_by_one(b.column("text"))):
                 ids = token_ids(t, vocab_json, end_id, added=True)
-                d = None if pd.isna(d) else int(d)
-                rows += [(d, i, s, n, zlib.crc32(ids[s:s + n].tobytes()))
+                rows += [(at, i, s, n, zlib.crc32(ids[s:s + n].tobytes()))
                          for i, (s, n) in enumerate(cuts(len(ids), capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            if not rows:
+                continue
+            at, piece, *rest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()),
+                 *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+            .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
 
 
 class Bins:
@@ -247,22 +251,24 @@ def pack(docs: DataFrame, vocab_json: str, capacity: int = CAPACITY, end_id: int
         def run(batches, level=level, last=last):
             part, chunk, held = TaskContext.get().partitionId(), 0, []
 
-            def emit(frame, chunk):
-                home, offset, fill = pack_block(frame["length"].to_numpy(), capacity)
-                frame["sequence_id"] = (level << 56) + (part << 34) + (chunk << 20) + home
-                frame["offset"] = offset
-                frame["sealed"] = (fill >= FULL * capacity) | last
-                return frame
+            def emit(held, chunk):
+                rows = pa.Table.from_batches(held).combine_chunks()
+                home, offset, fill = pack_block(rows.column("length").to_numpy(), capacity)
+                new = {"sequence_id": (level << 56) + (part << 34) + (chunk << 20) + home, "offset": offset,
+                       "sealed": (fill >= FULL * capacity) | last}
+                for name, values in new.items():
+                    rows = rows.append_column(name, pa.array(values))
+                yield from rows.to_batches()
 
             for b in batches:
                 held.append(b)
                 if sum(map(len, held)) >= 2 * block:
-                    yield emit(pd.concat(held, ignore_index=True), chunk)
+                    yield from emit(held, chunk)
                     held, chunk = [], chunk + 1
             if held:
-                yield emit(pd.concat(held, ignore_index=True), chunk)
+                yield from emit(held, chunk)
 
-        packed = stage(todo.repartition(blocks).mapInPandas(run, (
+        packed = stage(todo.repartition(blocks).mapInArrow(run, (
             "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, "
             "sealed boolean")), "packed")
         done.append(packed.filter("sealed").drop("sealed"))

@@ -19,13 +19,15 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, stage
+from quarry.llm.common import broadcast_if_small, one_by_one, stage
 from quarry.llm.urls import host
 
 #: Wrappers of a host merged at once, and pages on which a text must be the same to count as template.
@@ -33,6 +35,8 @@ FAN_IN = 128
 FIXED_PAGES = 5
 #: Nesting beyond which elements add no level, and children beyond which equal labels fold into one repeated choice.
 DEEP, LONG = 150, 24
+#: Pages parsed before their rows leave the task.
+ROWS = 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -58,6 +62,13 @@ DROP_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponso
                  "recommendations breadcrumb breadcrumbs pagination pager sidebar sidebars menu nav navbar navigation "
                  "topbar toolbar masthead footer widget widgets search login copyright disclaimer tracking skip "
                  "paywall".split())
+#: Words that add only layout to a name such as related-posts-box. Inside an article a name of other words, such as
+#: search-algorithms, is its subject's, and headings are never dropped by name.
+LAYOUT_WORDS = set("area bar block body box bottom btn button buttons col column container content count desktop fixed form "
+                   "global group head header icon icons inner inline item items left link links list main mobile module "
+                   "outer panel post posts primary right row secondary section side site slot small sticky text thread "
+                   "title top unit wrap wrapper".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOT_ARTICLES = set("ad ads advert advertisement comment comments promo related recommended reply replies sponsored "
                    "teaser widget".split())
 MAIN_WORDS = {"content", "article", "post", "entry", "story", "main", "articlebody", "maincontent", "text", "body"}
@@ -106,6 +117,7 @@ def parse(html: str):
     root = Node("html", [])
     stack: list[tuple[str, Node]] = [("html", root)]
     blocks: list[tuple[str, Node]] = []
+    open_ = Counter()  # how many elements of a name are open
     buffer: list[str] = []
     link = [0, 0]  # depth of open links, characters inside them
 
@@ -127,22 +139,20 @@ def parse(html: str):
                 link[1] += len(raw.strip())
 
     def close(names, scopes):
+        if not any(open_[x] for x in names):
+            return False
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 flush()
+                open_.subtract(name for name, _ in stack[i:])
                 del stack[i:]
                 return True
             if stack[i][0] in scopes:
                 return False
         return False
 
-    at, skip = 0, None
-    for m in TOKEN.finditer(html):
-        if skip is not None:
-            if not (m[1] and m[2].lower() == skip):
-                continue
-            skip, at = None, m.end()
-            continue
+    at = 0
+    while m := TOKEN.search(html, at):
         text(html[at:m.start()])
         at = m.end()
         tag = m[2].lower() if m[2] else None
@@ -151,7 +161,7 @@ def parse(html: str):
         if m[1]:
             if tag == "a":
                 link[0] = max(0, link[0] - 1)
-            if tag in ("br", "p") and not (tag == "p" and any(n == "p" for n, _ in stack)):
+            if tag in ("br", "p") and not (tag == "p" and open_["p"]):
                 flush()
             elif tag not in VOID:
                 close({tag}, {"article", "main", "body"} - {tag} if tag in INLINE else {"body"} - {tag})
@@ -161,11 +171,10 @@ def parse(html: str):
         if tag in RAW:
             if not m[0].endswith("/>"):
                 end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(html, at)
-                if end:
-                    skip = tag
+                if end:  # nothing inside counts as markup, an opened comment neither
+                    at = html.find(">", end.end() - 1) + 1 or len(html)
                 elif tag in ("script", "style"):
                     at = len(html)  # never closed: nothing after it is text
-                    break
             continue
         if tag in ("br", "hr"):
             flush()
@@ -178,9 +187,7 @@ def parse(html: str):
         if tag in VOID:
             continue
         flush()
-        if len(stack) > DEEP:
-            continue
-        if tag == "body" and any(n == "body" for n, _ in stack):
+        if tag == "body" and open_["body"]:
             continue
         if tag not in INLINE:
             if tag != "head":
@@ -192,12 +199,15 @@ def parse(html: str):
                     pass
             if tag in ("article", "main"):
                 close({"nav", "header"}, {"article", "main", "body"})
-        node = Node(_label(tag, attrs), [])
-        stack[-1][1].kids.append(node)
+        if len(stack) > DEEP:  # no level of its own, but its end tag closes it and nothing else
+            node = stack[-1][1]
+        else:
+            node = Node(_label(tag, attrs), [])
+            stack[-1][1].kids.append(node)
         if not m[0].endswith("/>") or tag in ENDS_P:
             stack.append((tag, node))
-    if skip is None:
-        text(html[at:])
+            open_[tag] += 1
+    text(html[at:])
     flush()
     return root, blocks
 
@@ -343,6 +353,12 @@ def _names(label: str) -> set[str]:
             WORDS.findall(part.partition("=")[2])}
 
 
+def _names_apart(label: str) -> list[set[str]]:
+    """The words of each class and id of a label by itself."""
+    return [{w.lower() for w in WORDS.findall(name)} for part in label.split("|")[1:] if not part.startswith("role=")
+            for name in part.partition("=")[2].split()]
+
+
 def _boilerplate(node: Node, inside: bool, total: int) -> bool:
     tag, *rest = node.label.split("|")
     if tag in ("html", "body", "main") or any(r == "role=main" for r in rest):
@@ -354,6 +370,10 @@ def _boilerplate(node: Node, inside: bool, total: int) -> bool:
     own = _names(node.label)
     if tag == "article":
         return bool(own & NOT_ARTICLES)
+    if inside:
+        return tag not in HEADINGS and any(
+            words & DROP_WORDS and words <= DROP_WORDS | LAYOUT_WORDS for words in _names_apart(node.label)) and \
+            not _holds(node, {"article", "main"}) and 5 * _mass(node) < 4 * total
     # a container of nearly the whole page is named after its layout, such as has-sidebar
     return bool(own & DROP_WORDS) and not _holds(node, {"article", "main"}) and 5 * _mass(node) < 4 * total
 
@@ -370,8 +390,9 @@ def _mass(node: Node) -> int:
 
 
 def _links_only(node: Node) -> bool:
+    """Whether a list holds links alone on every one of several pages; on few pages it may be the article's own."""
     items = [x for x in leaves_of(node)]
-    return bool(items) and all(x.linked >= x.chars for x in items)
+    return bool(items) and all(x.linked >= x.chars and x.pages >= FIXED_PAGES for x in items)
 
 
 def classify(root: Node) -> set[int]:
@@ -520,19 +541,24 @@ def scanned(pages: DataFrame) -> DataFrame:
     """Each page parsed once: structure, blocks with their leaves, and per leaf its text's hash and sizes."""
     def run(batches):
         for b in batches:
-            rows = []
-            for text in b["html"]:
-                spec, texts, leaf, leaves = read_page(text)
-                rows.append((spec, texts, leaf,
-                             [None if x.text is None else xxhash.xxh64_intdigest(x.text) >> 1 for x in leaves],
-                             [x.chars for x in leaves], [x.linked for x in leaves]))
-            out = pd.DataFrame(rows, columns=["spec", "blocks", "leaf", "fixed", "chars", "linked"])
-            yield pd.concat([b[["page_id", "url", "host"]].reset_index(drop=True), out], axis=1)
-
-    kind = pages.select("page_id", "url", "host").schema
-    return pages.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
-                             + ", spec string, blocks array<string>, leaf array<int>, fixed array<long>, "
-                               "chars array<int>, linked array<int>")
+            for at in range(0, b.num_rows, ROWS):
+                part, rows = b.slice(at, ROWS), []
+                for text in one_by_one(part.column("html")):
+                    spec, texts, leaf, leaves = read_page(text)
+                    rows.append((spec, texts, leaf,
+                                 [None if x.text is None else xxhash.xxh64_intdigest(x.text) >> 1 for x in leaves],
+                                 [x.chars for x in leaves], [x.linked for x in leaves]))
+                ints = pa.list_(pa.int32())
+                kinds = (pa.string(), pa.list_(pa.string()), ints, pa.list_(pa.int64()), ints, ints)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in own), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds,
+                                                                                    strict=True))],
+                    [*own, "spec", "blocks", "leaf", "fixed", "chars", "linked"])
+
+    own = ["page_id", "url", "host"]
+    return pages.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*own).schema)
+                            + ", spec string, blocks array<string>, leaf array<int>, fixed array<long>, "
+                              "chars array<int>, linked array<int>")
 
 
 def wrappers(parsed: DataFrame) -> DataFrame:
