@@ -58,3 +58,12 @@ def one_by_one(column):
     """The values of an Arrow column as Python objects, made one at a time, so that a batch is not held twice."""
     for x in column:
         yield x.as_py()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as set them apart from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
