@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts sentence spans that occur earlier in the corpus; documents left without a word go."""
-    cut = spans.dedup_spans(docs).select(*docs.columns)
+    cut = spans.dedup_spans(docs, report=False)
     cut = cut.filter(F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
