@@ -8,10 +8,12 @@ elements stops after a few steps.
 The signature is cut into 32 bands of 5. A pair at similarity 0.8 misses all bands with probability
 ``(1 - 0.8**5)**32 = 3e-6``. Pairs that meet in a band are confirmed on their full shingle sets.
 
-How a bucket is resolved without listing its pairs. Each bucket compares its members with one pivot. If all members then
+How a bucket is resolved without listing its pairs. Each bucket compares its members with one pivot, the member that
+shares the most buckets, so that overlapping buckets take the same one. If all members then
 lie in one component, the bucket is done: more links inside it could not change a component. Otherwise pivots are drawn
-from the components other than its largest, compared with the members of the other components, and retired, eight times as
-many each round, until the rest of the bucket lies in one component. Every pair of a bucket that is never compared
+from the components other than its largest, compared with the members of the other components, and retired, four times as
+many each round, until the rest of the bucket lies in one component. A pair that meets in several torn buckets is made in
+the least of them alone; a node that retires from another one is still in that. Every pair of a bucket that is never compared
 either lies in one component already or is ruled out: by the sizes of the two sets, by the triangle inequality of the
 Jaccard distance to a common pivot, or (large buckets, :func:`settle_rare`) by the elements the two can share at all.
 """
@@ -211,13 +213,28 @@ def fits(n1: str, n2: str, percent: int):
 
 def one_of_each(members: DataFrame) -> DataFrame:
     """Of buckets that hold the same nodes, as most bands of a pair do, one stays."""
-    print_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("pivot").alias("p"),
+    print_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p"),
                                         F.bit_xor(F.xxhash64("node")).alias("x"),
                                         F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     first = print_.groupBy("c", "p", "x", "y").agg(F.min("key").alias("k"))
     return stage(members.join(first.select("k"), F.col("key") == F.col("k"), "left_semi"), "buckets")
 
 
+def with_pivots(members: DataFrame) -> DataFrame:
+    """Adds each bucket's pivot: the node whose buckets hold the most members, the smallest on a tie.
+
+    The middle of a large group shares more buckets than its outer members, so the overlapping buckets of the group
+    agree on it, and few comparisons with few pivots cover the group.
+    """
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("key", "k")
+    weight = (members.join(held, F.col("key") == F.col("k")).groupBy("node").agg(F.sum("c").alias("w"))
+              .withColumnRenamed("node", "m"))
+    pivot = (members.join(weight, F.col("node") == F.col("m")).groupBy("key")
+             .agg((-F.max(F.struct("w", (-F.col("node")).alias("node")))["node"]).alias("pivot"))
+             .withColumnRenamed("key", "k"))
+    return stage(members.join(pivot, F.col("key") == F.col("k")).select("key", "pivot", "node", "n"), "pivoted")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
@@ -233,9 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     repeats = not usable.groupBy("doc_id").count().filter("count > 1").isEmpty()
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = (banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-              .select(F.col("key").alias("k"), F.col("lo").alias("pivot")))
-    members = one_of_each(stage(banded.join(shared, F.col("key") == F.col("k")).select("key", "pivot", "node", "n"),
-                                "members"))
+              .select(F.col("key").alias("k")))
+    members = one_of_each(stage(banded.join(shared, F.col("key") == F.col("k")).select("key", "node", "n"), "members"))
     same_id = []
     if repeats:  # copies of an id with unlike texts are one node: tie their classes
         same_id = [usable.join(classes.select("d1", "d2", "node"), ["d1", "d2"])
@@ -243,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
                    .filter("a < b").distinct()]
     links = same_id
     if not members.isEmpty():
-        links = links + resolve(docs, members, k, percent, repeats)
+        links = links + resolve(docs, with_pivots(members), k, percent, repeats)
     out = sig.join(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "node"),
                    (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") > 0), "left")
     if links:
@@ -347,7 +363,7 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
             .select("key", "pivot", "node", "n", "pn", "inter", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
                     F.coalesce("d", F.lit(1.0)).alias("far")))
     rest = stage(rest, "rest")
-    tried, pivots, reach, first_round = seen.select("a", "b"), 16, 1 - percent / 100 + 1e-9, True
+    tried, pivots, reach, first_round = seen.select("a", "b"), 4, 1 - percent / 100 + 1e-9, True
     while True:
         edges = links[0]
         for x in links[1:]:
@@ -385,7 +401,12 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
                           F.col("m").alias("pm"), F.col("near").alias("pnear"), F.col("far").alias("pfar")))
         picked = stage(picked, "pivots")
         gone = picked.select("key", F.col("p").alias("node"))
-        pairs = (at.join(picked, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "np", percent))
+        own = at.groupBy(F.col("node").alias("kn")).agg(F.collect_set("key").alias("keys"))  # a node has few bands
+        own = broadcast_if_small(stage(own, "torn-keys"), 24 + 8 * BANDS)
+        keyed = at.join(own, F.col("node") == F.col("kn")).drop("kn")
+        drawn = picked.join(own.select(F.col("kn"), F.col("keys").alias("pkeys")), F.col("p") == F.col("kn")).drop("kn")
+        pairs = (keyed.join(drawn, "key").filter((F.col("comp") != F.col("pc")) & fits("n", "np", percent))
+                 .filter(F.array_min(F.array_intersect("keys", "pkeys")) == F.col("key"))
                  .filter((F.col("near") - F.col("pfar") <= reach) & (F.col("pnear") - F.col("far") <= reach)
                          & (F.col("m").isNull() | F.col("pm").isNull()
                             | enough(F.least("m", "pm"), F.col("n"), F.col("np"), percent)))
@@ -397,7 +418,7 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
                  new.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         tried = tried.unionByName(new.select("a", "b"))
         rest = stage(at.drop("comp", "big").join(gone, ["key", "node"], "left_anti"), "rest")
-        pivots *= 8
+        pivots *= 4
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
