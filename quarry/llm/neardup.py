@@ -11,7 +11,7 @@ The signature is cut into 32 bands of 5. A pair at similarity 0.8 misses all ban
 How a bucket is resolved without listing its pairs. Each bucket compares its members with one pivot, the member that
 shares the most buckets, so that overlapping buckets take the same one. If all members then
 lie in one component, the bucket is done: more links inside it could not change a component. Otherwise pivots are drawn
-from the components other than its largest, compared with the members of the other components, and retired, four times as
+from the components other than its largest, compared with the members of the other components, and retired, eight times as
 many each round, until the rest of the bucket lies in one component. A pair that meets in several torn buckets is made in
 the least of them alone; a node that retires from another one is still in that. Every pair of a bucket that is never compared
 either lies in one component already or is ruled out: by the sizes of the two sets, by the triangle inequality of the
@@ -363,14 +363,15 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
             .select("key", "pivot", "node", "n", "pn", "inter", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("near"),
                     F.coalesce("d", F.lit(1.0)).alias("far")))
     rest = stage(rest, "rest")
-    tried, pivots, reach, first_round = seen.select("a", "b"), 4, 1 - percent / 100 + 1e-9, True
+    tried, pivots, reach, first_round = seen.select("a", "b"), 16, 1 - percent / 100 + 1e-9, True
     while True:
         edges = links[0]
         for x in links[1:]:
             edges = edges.unionByName(x)
         comp = stage(components(edges), "components")
-        at = rest.join(comp.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").withColumn(
-            "comp", F.coalesce("comp", "node")).drop("cn")
+        placed = at = stage(rest.join(comp.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").withColumn(
+            "comp", F.coalesce("comp", "node")).drop("cn"), "placed")
+        unstage(rest)
         if first_round:
             at, met = settle_rare(at, seen, percent)
             by_rare = stage(verify(met.join(tried, ["a", "b"], "left_anti"), sets), "verified")
@@ -392,6 +393,7 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
             | (F.col("m1").isNotNull() & enough(F.least("m", "m1"), F.col("n"), F.col("n0"), percent)))
         at = stage(at.join(outside, (F.col("key") == F.col("ok")) & ((F.col("comp") != F.col("big")) | within))
                    .select("key", "node", "n", "pn", "m", "near", "far", "comp", "big"), "torn")
+        unstage(placed)
         if at.isEmpty():
             return [*links, by_rare.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         order = Window.partitionBy("key").orderBy("comp", "node")
@@ -418,7 +420,7 @@ def resolve(docs: DataFrame, members: DataFrame, k: int, percent: int, repeats:
                  new.filter(f"100 * inter >= {percent} * uni").select("a", "b")]
         tried = tried.unionByName(new.select("a", "b"))
         rest = stage(at.drop("comp", "big").join(gone, ["key", "node"], "left_anti"), "rest")
-        pivots *= 4
+        pivots *= 8
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
