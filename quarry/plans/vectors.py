@@ -388,8 +388,7 @@ def word2vec_fit(spark, sf_dir):
 def _doc_vectors(spark, sf_dir, docs_tokens):
     wv = word_vectors(spark, sf_dir)
     counts = doc_index(spark, sf_dir).term_stats.select(F.col("term").alias("word"), F.col("cf").alias("freq"))
-    neg = docvec.negative_table(wv, counts, size=1024)
-    return docvec.infer_doc_vectors(docs_tokens, wv, neg, dim=64, epochs=10)
+    return docvec.infer_doc_vectors(docs_tokens, wv, counts, dim=64, epochs=10)
 
 
 @register("doc_vectors")
