@@ -281,6 +281,55 @@ def translation_matrix(pairs: DataFrame, src_col: str = "src", tgt_col: str = "t
     return np.linalg.pinv(sts) @ stt
 
 
+def translation_matrices(pairs: DataFrame, keys: list[str], src_col: str = "src", tgt_col: str = "tgt",
+                         diagonal: bool = False) -> DataFrame:
+    """V9 for many language pairs at once: ``(keys..., matrix array<double>, d, e)``, row by row, one pass over all.
+
+    Every partition emits one Gram sum per key it holds; the sums are added by key and each solved in a task, so neither
+    pairs nor matrices pass the driver. With ``diagonal`` each dimension is scaled alone, by ``Σ s t / Σ s s``.
+    """
+    def part(batches):
+        held: dict[tuple, list] = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, sort=False):
+                S, T = (np.stack(g[c].to_numpy()).astype(np.float64) for c in (src_col, tgt_col))
+                if diagonal:
+                    sums = [(S * S).sum(axis=0), (S * T).sum(axis=0)]
+                else:
+                    sums = [(S.T @ S).ravel(), (S.T @ T).ravel()]
+                old = held.get(key)
+                held[key] = [S.shape[1], T.shape[1], *(sums if old is None else [a + b for a, b in zip(old[2:], sums, strict=True)])]
+        if held:
+            yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, "d", "e", "sts", "stt"])
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                sts, stt = np.array(r.sts), np.array(r.stt)
+                if diagonal:
+                    m = np.diag(np.divide(stt, sts, out=np.zeros_like(stt), where=sts != 0))
+                else:
+                    m = np.linalg.pinv(sts.reshape(r.d, r.d)) @ stt.reshape(r.d, r.e)
+                out.append(m.ravel().tolist())
+            yield pdf[[*keys, "d", "e"]].assign(matrix=out)[[*keys, "matrix", "d", "e"]]
+
+    kind = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    parts = pairs.select(*keys, src_col, tgt_col).mapInPandas(part, f"{kind}, d int, e int, sts array<double>, stt array<double>")
+    both = vector_sum(parts, [*keys, "d", "e"], "sts", out="sts").join(
+        vector_sum(parts, [*keys, "d", "e"], "stt", out="stt"), [*keys, "d", "e"])
+    return both.mapInPandas(solve, f"{kind}, matrix array<double>, d int, e int")
+
+
+def project_by(df: DataFrame, vec_col: str, matrices: DataFrame, keys: list[str], out: str = "projected") -> DataFrame:
+    """``df`` with its vector mapped by the matrix of its key; rows without a matrix are left out."""
+    j = df.join(checked_broadcast(matrices), keys)
+    cell = F.transform(F.sequence(F.lit(0), F.col("e") - 1), lambda c: F.aggregate(
+        F.zip_with(F.col(vec_col), F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda r: F.get("matrix", r * F.col("e") + c)),
+                   lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y))
+    return j.withColumn(out, cell).drop("matrix", "d", "e")
+
+
 def project(df: DataFrame, vec_col: str, W: np.ndarray, out: str = "projected") -> DataFrame:
     """Multiply each vector by the matrix ``W`` (d×e), one matrix product per Arrow batch; null stays null."""
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(W, dtype=np.float64))

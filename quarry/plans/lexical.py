@@ -157,14 +157,14 @@ def topk(spark, sf_dir):
 
 
 @register("explain_bm25", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
-scored AS (SELECT qt.query_id, m.doc_id, sum(qt.qtf * ({sql_bm25()})) AS score
-           FROM qt JOIN m USING (term) GROUP BY qt.query_id, m.doc_id),
-best AS (SELECT query_id, doc_id FROM {sql_topk('scored', 3)})
-SELECT qt.query_id, m.doc_id, m.term, m.tf::BIGINT AS tf, m.df::BIGINT AS df,
+mq AS MATERIALIZED (SELECT qt.query_id, m.doc_id, m.term, tf, df, n_docs, dl, avgdl, qtf, {sql_bm25()} AS part
+                    FROM qt JOIN m USING (term)),
+scored AS MATERIALIZED (SELECT query_id, doc_id, sum(qtf * part) AS score FROM mq GROUP BY query_id, doc_id),
+best AS MATERIALIZED (SELECT query_id, doc_id FROM {sql_topk('scored', 3)})
+SELECT mq.query_id, mq.doc_id, mq.term, tf::BIGINT AS tf, df::BIGINT AS df,
        round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf,
-       round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS tf_norm,
-       round(qt.qtf * ({sql_bm25()}), 6) AS contribution
-FROM qt JOIN m USING (term) JOIN best ON best.query_id = qt.query_id AND best.doc_id = m.doc_id""")
+       round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS tf_norm, round(qtf * part, 6) AS contribution
+FROM best JOIN mq ON best.query_id = mq.query_id AND best.doc_id = mq.doc_id""")
 def explain_bm25(spark, sf_dir):
     """Q11: per-term BM25 explanation of each query's top-3 hits."""
     idx = doc_index(spark, sf_dir)
