@@ -8,6 +8,9 @@ global window of the reference — one task; choose a shard key (e.g. a hash of
 the message id into ``shards`` buckets) to spread the work, with windows then
 counted per shard.
 
+``count_windows_state`` is the same on the arbitrary-state API, with list state,
+a timer that empties idle shards, and a way to deal what they held anew.
+
 Batch form: a global ordinal over the order key (range partitions, no
 single-partition window), ``window = (ordinal - 1) // size``, incomplete last
 window dropped.
@@ -19,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quarry.operators.corpus import global_ordinal
 
@@ -43,6 +47,75 @@ def count_windows(df: DataFrame, size: int, order_cols, shard_col: str | None =
             .withColumn("pos", ((F.col("_o") - 1) % size).cast("int")).drop("_o", "_n"))
 
 
+OUT = "shard string, window_id long, pos int, id string, text string"
+#: ``window_id`` of rows that an idle shard gives up, to be dealt to other shards.
+HANDED_BACK = -1
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class CountWindows(StatefulProcessor):
+    """State of a shard: the messages of its open window, at most ``size - 1``, and the number of the next window."""
+
+    def __init__(self, size: int, order_col: str, id_col: str, text_col: str, idle_ms: int | None):
+        self.size, self.order_col, self.id_col, self.text_col = size, order_col, id_col, text_col
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "id string, text string")
+        self.next = handle.getValueState("next", "window long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        window = self.next.get()[0] if self.next.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(self.order_col, kind="stable")
+        held += list(zip(batch[self.id_col].astype(str), batch[self.text_col], strict=True))
+        full = len(held) // self.size * self.size
+        self.open.clear()
+        if held[full:]:
+            self.open.put(held[full:])
+        self.next.update((window + full // self.size,))
+        if self.idle_ms is not None:  # one timer, moved on by every arrival
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._frame([(key[0], window + i // self.size, i % self.size, *held[i]) for i in range(full)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """An idle shard gives its open messages back and forgets them; its windows go on counting."""
+        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        yield self._frame([(key[0], HANDED_BACK, i, *m) for i, m in enumerate(held)])
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _frame(rows):
+        return pd.DataFrame(rows, columns=["shard", "window_id", "pos", "id", "text"]).astype(
+            {"window_id": "int64", "pos": "int32"})
+
+
+def count_windows_state(stream: DataFrame, size: int, order_col: str, id_col: str, text_col: str, shard_col: str,
+                        idle_ms: int | None = None) -> DataFrame:
+    """W3 on the arbitrary-state API: ``(shard, window_id, pos, id, text)`` rows of full windows.
+
+    A shard that gets nothing for ``idle_ms`` hands its open messages back as rows of window ``HANDED_BACK``; see
+    :func:`reshard`. The session needs the state store of :data:`STATE_STORE`.
+    """
+    rows = stream.select(F.col(shard_col).cast("string").alias("_shard"), order_col, id_col, text_col)
+    return rows.groupBy("_shard").transformWithStateInPandas(
+        CountWindows(size, order_col, id_col, text_col, idle_ms), outputStructType=OUT, outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime")
+
+
+def reshard(handed_back: DataFrame, shards: int) -> DataFrame:
+    """Messages that idle shards gave back, dealt to fewer shards by a hash of their id: ``shard, id, text``."""
+    return handed_back.filter(F.col("window_id") == HANDED_BACK).select(
+        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("string").alias("shard"), "id", "text")
+
+
 def count_windows_stream(stream: DataFrame, size: int, order_col: str, id_col: str, text_col: str,
                          shard_col: str) -> DataFrame:
     """Stream form: ``(shard, window_id, pos, id, text)`` rows of full windows."""
