@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, mix64, one_by_one, stage, unstage
+from quarry.llm.common import broadcast_if_small, mix64, one_by_one, stage, unstage, unused
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -430,12 +430,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     are kept.
     """
     found = near_duplicates(docs, k, percent)
-    out = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_rid")).distinct(), "rejected")
-    left = docs.join(out, F.col("doc_id").cast("long") == F.col("_rid"), "left_anti")
-    twice = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_rid")).count() \
-        .filter("count > 1").select("_rid")
+    rid, = unused(docs, "rid")
+    out = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias(rid)).distinct(), "rejected")
+    match = F.col("doc_id").cast("long") == F.col(rid)
+    left = docs.join(out, match, "left_anti")
+    twice = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(rid)).count() \
+        .filter("count > 1").select(rid)
     if twice.isEmpty():
         return left
-    match = F.col("doc_id").cast("long") == F.col("_rid")
     return left.join(twice, match, "left_anti").unionByName(
         left.join(twice, match, "left_semi").dropDuplicates(["doc_id"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, one_by_one, stage
+from quarry.llm.common import broadcast_if_small, one_by_one, stage, unused
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -146,7 +146,11 @@ def thresholds(m: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     def rejected(r, c, good):
         return F.sum(((F.col(r) > c) & (F.col("good") == good)).cast("long"))
 
-    counted = (m.filter(~F.col("base_failed")).join(marks, "doc_id")
+    # an id that several rows share counts once, by its first row in a fixed order, so trials stay independent
+    ratios = [F.col(r) for r in ladders]
+    once = (m.filter(~F.col("base_failed")).join(marks, "doc_id").groupBy("doc_id")
+            .agg(F.min(F.struct("stratum", *ratios, "good")).alias("one")).select("one.*"))
+    counted = (once
                .groupBy("stratum").agg(F.sum("good").alias("n"),
                                        *[rejected(r, c, 1).alias(f"{r}_{i}") for r, i, c in steps],
                                        *[rejected(r, c, 0).alias(f"bad_{r}_{i}") for r, i, c in steps]))
@@ -191,8 +195,9 @@ def keep(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     Rejected rows are found by ``(doc_id, hash of the text)``, null-safe: rows that share an id but not a text are
     judged apart, and rows without an id are judged too.
     """
+    rid, rkey = unused(docs, "rid", "rkey")
     out = (judge(docs, labels, **kw).filter(~F.col("kept"))
-           .select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey")).distinct())
+           .select(F.col("doc_id").alias(rid), F.col("text_key").alias(rkey)).distinct())
     out = broadcast_if_small(stage(out, "rejected"), 16)
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_rid"))
-                     & (text_key() == F.col("_rkey")), "left_anti")
+    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(rid))
+                     & (text_key() == F.col(rkey)), "left_anti")

@@ -59,3 +59,13 @@ def test_archive_lays_records_out(spark):
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
         assert int(head.rsplit(b": ", 1)[1]) == len(body) - 4
     assert len(at) > 1 and fixity.archive(df.limit(0)).count() == 0
+
+
+def test_replicas_without_records(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string")
+    full = fixity.leaves(fixity.archive(pages))
+    empty = fixity.leaves(fixity.archive(pages.limit(0)))
+    assert fixity.audit(empty, empty).collect() == []
+    assert [r.status for r in fixity.audit(full, empty).collect()] == ["missing"]
+    assert [r.status for r in fixity.audit(empty, full).collect()] == ["extra"]
+    assert fixity.audit(full, full).collect() == []

@@ -111,3 +111,29 @@ def test_many_structures_of_one_host_are_merged_in_rounds(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert w.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_generated_articles_lose_nothing():
+    """Pages built from known blocks; every block of the article must come back, and nothing else."""
+    rnd = random.Random(12)
+    for _ in range(500):
+        said, body = [], []
+
+        def text():
+            return " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(rnd.randint(8, 20)))
+
+        for _ in range(rnd.randint(2, 9)):
+            t = text()
+            said.append(t)
+            depth = rnd.choice([0, 0, 1, 5, 300])
+            body.append(rnd.choice([
+                f"<p>{t}</p>", f"<section id=search-algorithms><p>{t}</p></section>", f"<h2 class=related>{t}</h2>",
+                f"<blockquote>{t}</blockquote>", f"<p class='share-price'>{t}</p>", f"<p>{t}", f"<ul><li>{t}</ul>",
+                "<div>" * depth + f"<p>{t}</p>" + "</div>" * depth, f"<ul><li><a href=/x>{t}</a></li></ul>"]))
+            body.append(rnd.choice(["", "", "<script>if (a <!-- b) x();</script>", "<style><!-- p{} </style>",
+                                    "<!-- a <p>no</p> -->", f"<div class=ad>{text()}</div>", f"<form>{text()}</form>",
+                                    f"<div class='related-posts'><p>{text()}</p></div>",
+                                    f"<section class='comments'><p>{text()}</p></section>"]))
+        page = (f"<html><head><title>{text()}</title></head><body><nav><ul><li><a href=/>{text()}</a></ul></nav><article>"
+                + "".join(body) + f"</article><footer><p>{text()}</p></footer></body></html>")
+        assert w.extract(page) == "\n".join(said), page
