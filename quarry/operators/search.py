@@ -159,8 +159,27 @@ def explain(index: Index, qterms: DataFrame, hits: DataFrame, k1: float = 1.2, b
 
 
 def fetch(hits: DataFrame, docs: DataFrame, cols, id_col: str = "doc_id") -> DataFrame:
-    """Q12: late materialisation of stored fields for (bounded) hits."""
-    return docs.select(F.col(id_col).alias("doc_id"), *cols).join(checked_broadcast(hits), "doc_id")
+    """Q12: late materialisation of stored fields, for the hits alone.
+
+    The join carries no hint: Spark broadcasts few hits, and for many it shuffles them and may send their ids as a
+    runtime Bloom filter into the scan of ``docs`` before that side is shuffled. Fields stored by
+    :func:`store_fields` are bucketed by document and need no shuffle at all.
+    """
+    return docs.select(F.col(id_col).alias("doc_id"), *cols).join(hits, "doc_id")
+
+
+FIELDS_PER_BUCKET = 2_000_000
+
+
+def store_fields(docs: DataFrame, table: str, path: str, id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """Writes stored fields as an external table bucketed and sorted by document, and returns it.
+
+    Buckets follow the number of rows unless given.
+    """
+    n = buckets or max(1, -(-docs.count() // FIELDS_PER_BUCKET))
+    (docs.repartition(n, id_col).write.bucketBy(n, id_col).sortBy(id_col).mode("overwrite").option("path", path)
+     .saveAsTable(table))
+    return docs.sparkSession.table(table)
 
 
 def clause_search(index: Index, clauses: DataFrame, similarity: str = "bm25", **params) -> DataFrame:

@@ -9,7 +9,7 @@ from quarry.operators import search
 from quarry.plans import register
 from quarry.plans.vectors import SQL_WV, sql_word_embeddings
 from quarry.plans.common import (SQL_BENCH_TERMS, SQL_INDEX, bench_terms, doc_index, r6,
-                                 sql_bm25, sql_classic, sql_lm_dirichlet, sql_lm_jm, sql_topk)
+                                 sql_bm25, sql_classic, sql_lm_dirichlet, sql_lm_jm, sql_topk, tbl)
 
 K = 10
 
@@ -156,6 +156,18 @@ def topk(spark, sf_dir):
         F.col("total_hits").cast("long"), r6("max_score").alias("max_score"))
 
 
+@register("fetch_hits", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
+scored AS (SELECT qt.query_id, m.doc_id, sum(qt.qtf * ({sql_bm25()})) AS score
+           FROM qt JOIN m USING (term) GROUP BY qt.query_id, m.doc_id)
+SELECT query_id, h.doc_id, rank, lang, source, md5(text) AS text_md5 FROM {sql_topk('scored', K)} h
+JOIN documents d ON d.doc_id = h.doc_id""")
+def fetch_hits(spark, sf_dir):
+    """Q12: stored fields of each query's top-10 hits, read for the hits alone."""
+    hits = search.rank(doc_index(spark, sf_dir), bench_terms(spark, sf_dir), "bm25", K).select("query_id", "doc_id", "rank")
+    r = search.fetch(hits, tbl(spark, sf_dir, "documents"), ["lang", "source", "text"])
+    return r.select("query_id", "doc_id", F.col("rank").cast("long"), "lang", "source", F.md5("text").alias("text_md5"))
+
+
 @register("explain_bm25", f"""WITH {SQL_INDEX}, {SQL_BENCH_TERMS},
 mq AS MATERIALIZED (SELECT qt.query_id, m.doc_id, m.term, tf, df, n_docs, dl, avgdl, qtf, {sql_bm25()} AS part
                     FROM qt JOIN m USING (term)),

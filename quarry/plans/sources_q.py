@@ -143,6 +143,23 @@ def index_append(spark, sf_dir):
     return r.select(F.col("batch_id").cast("long"), F.col("n_docs").cast("long"))
 
 
+COMMITS = 4
+
+
+@register("commit_report", f"""SELECT batch_id, count(*)::BIGINT AS n_docs, true AS timed FROM (
+  SELECT ((row_number() OVER (ORDER BY doc_id) - 1) * {COMMITS} // (SELECT count(*) FROM documents))::BIGINT AS batch_id
+  FROM documents) GROUP BY 1""")
+def commit_report(spark, sf_dir):
+    """K2: documents appended in four commits (doc_id order), each counted and timed as it is written; one row per
+    commit, ``timed`` tells that its seconds were measured."""
+    docs = tbl(spark, sf_dir, "documents")
+    n = docs.count()
+    d = global_ordinal(docs, [F.col("doc_id")], out="_o").withColumn(
+        "batch_id", F.floor((F.col("_o") - 1) * COMMITS / F.lit(max(n, 1))).cast("long")).drop("_o")
+    r = SF.append_commits(d, _staged(spark, sf_dir, "commit_report", lambda path: None) + "/docs")
+    return r.select("batch_id", "n_docs", (F.col("seconds") > 0).alias("timed"))
+
+
 def _flatten_sql():
     from quarry.plans import _REGISTRY
     from quarry.plans import streams  # noqa: F401
