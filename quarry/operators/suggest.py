@@ -1,9 +1,10 @@
 """Auto-completion over dictionaries, n-gram and character models.
 
-Prefix matching is an equi-join on a short key plus an exact ``startswith``
-filter: every dictionary entry is indexed under its prefixes of length
-1..``key_len`` and a lookup joins on ``substr(prefix, 1, key_len)`` — exact for
-prefixes of any length, with ``key_len`` rows per entry in the index. Lookups
+Prefix completion keeps the best entries of every prefix (:func:`completions`), so
+a lookup is an equi-join on the prefix. Where all matches are needed, or a prefix
+is longer than those kept, matching is an equi-join on a short key plus an exact
+``startswith`` filter: every dictionary entry is indexed under its prefixes of
+length 1..``key_len`` and a lookup joins on ``substr(prefix, 1, key_len)``. Lookups
 are the (size-checked, broadcast) query side; best-k per lookup uses the
 window top-k (partial limit before the shuffle).
 """
@@ -18,6 +19,8 @@ from quarry.operators.search import top_k
 from quarry.session import checked_broadcast, cut_lineage
 
 KEY_LEN = 4
+#: Longest prefix whose best completions are kept.
+LONGEST = 48
 
 
 def prefix_index(dictionary: DataFrame, entry_col: str = "entry", key_len: int = KEY_LEN) -> DataFrame:
@@ -41,14 +44,36 @@ def prefix_matches(dictionary: DataFrame, lookups: DataFrame, entry_col: str = "
     return idx.join(lk, "key").filter(F.col(entry_col).startswith(F.col("prefix"))).drop("key")
 
 
+def completions(dictionary: DataFrame, k: int = 3, by: str = "weight", entry_col: str = "entry",
+                longest: int = LONGEST) -> DataFrame:
+    """``(prefix, <dictionary columns>, rank)``: the ``k`` best entries under every prefix of up to ``longest`` characters.
+
+    Best is by weight, or alphabetical (``by='alpha'``); ties by entry. Partitions keep their best ``k`` of a prefix before
+    anything is shuffled, so a short prefix that half the dictionary shares costs ``k`` rows a partition. Write the
+    table once and a lookup is one row's worth of work, however large the dictionary.
+    """
+    each = prefix_index(dictionary, entry_col, longest).withColumnRenamed("key", "prefix")
+    score = F.lit(0.0) if by == "alpha" else F.col("weight").cast("double")
+    return top_k(each.withColumn("_b", score), k, score_col="_b", group_col="prefix", id_col="entry").drop("_b")
+
+
+def complete(table: DataFrame, dictionary: DataFrame, lookups: DataFrame, k: int = 3, by: str = "weight",
+             entry_col: str = "entry", longest: int = LONGEST) -> DataFrame:
+    """``(lookup_id, <dictionary columns>, rank)`` from a table of :func:`completions`, by an equi-join on the prefix.
+
+    Lookups longer than its prefixes are matched with the dictionary itself. Empty ones match nothing.
+    """
+    asked = lookups.select("lookup_id", "prefix").filter(F.length("prefix") > 0)
+    out = table.join(checked_broadcast(asked.filter(F.length("prefix") <= longest)), "prefix").drop("prefix")
+    rest = prefix_matches(dictionary, asked.filter(F.length("prefix") > longest), entry_col)
+    score = F.lit(0.0) if by == "alpha" else F.col("weight").cast("double")
+    rest = top_k(rest.withColumn("_b", score), k, score_col="_b", group_col="lookup_id", id_col="entry")
+    return out.unionByName(rest.select(*out.columns))
+
+
 def suggest_prefix(dictionary: DataFrame, lookups: DataFrame, k: int = 3, by: str = "alpha") -> DataFrame:
     """G1 (``by='alpha'``: trie order) / weight order: ``(lookup_id, entry, weight, rank)``."""
-    m = prefix_matches(dictionary, lookups)
-    if by == "alpha":
-        w = m.withColumn("_s", F.lit(0.0))
-        return top_k(w, k, score_col="_s", group_col="lookup_id", id_col="entry").drop("_s")
-    return top_k(m.withColumn("_s", F.col("weight").cast("double")), k, score_col="_s",
-                 group_col="lookup_id", id_col="entry").drop("_s")
+    return complete(completions(dictionary, k, by), dictionary, lookups, k, by)
 
 
 def analyzed(text: Column) -> Column:
@@ -63,9 +88,7 @@ def suggest_analyzing(dictionary: DataFrame, lookups: DataFrame, k: int = 3) ->
     """Prefix match on the analysed forms, ordered by weight desc."""
     d = dictionary.withColumn("akey", analyzed(F.col("entry")))
     l = lookups.select("lookup_id", analyzed(F.col("prefix")).alias("prefix"))
-    m = prefix_matches(d, l, entry_col="akey")
-    return top_k(m.withColumn("_s", F.col("weight").cast("double")), k, score_col="_s",
-                 group_col="lookup_id", id_col="entry").drop("_s", "akey", "prefix")
+    return complete(completions(d, k, entry_col="akey"), d, l, k, entry_col="akey").drop("akey")
 
 
 def suggest_infix(dictionary: DataFrame, lookups: DataFrame, k: int = 3, key_len: int = KEY_LEN) -> DataFrame:
