@@ -38,29 +38,36 @@ def op1(spark, sf_dir):
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
              ("block", "com/de/")]
 LISTED_WORDS = "ads?|adserver|track(er|ing)?|spam|click"
+#: Characters of html below which a page is thin; its address is listed.
+THIN = 1500
 
 _SQL_URL = f"""
-WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h,
+WITH u AS (SELECT page_id, html, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h,
                   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+p AS (SELECT page_id, html, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
 r AS (SELECT *, CASE
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
   WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
-l AS (SELECT *, regexp_matches(host, '(^|[.-])({LISTED_WORDS})([.-]|$)') AS listed FROM r)
+thin AS (SELECT DISTINCT host || path AS address FROM p WHERE length(html) < {THIN} AND host <> '' AND path <> ''),
+l AS (SELECT r.*, regexp_matches(host, '(^|[.-])({LISTED_WORDS})([.-]|$)') OR coalesce(path <> '' AND address IS NOT NULL, false)
+      AS listed FROM r LEFT JOIN thin ON address = host || path)
 SELECT page_id, host, path, rule, listed, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM l"""
 
 
 @_query("op2_bloom_cascade", _SQL_URL)
 def op2(spark, sf_dir):
-    """Verdict on every page's url; listed are the corpus's domains whose first label names ads or tracking."""
+    """Verdict on every page's url; listed are the corpus's domains whose first label names ads or tracking, and the
+    addresses of thin pages."""
     pages = _table(spark, sf_dir, "pages")
+    address = F.concat(urls.host(F.col("url")), urls.path(F.col("url")))
+    thin = pages.filter((F.length("html") < THIN) & (urls.path(F.col("url")) != "")).select(address.alias("domain"))
     seen = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
     listed = seen.filter(F.element_at(F.split("domain", r"\."), 1).rlike(f"(^|-)({LISTED_WORDS})(-|$)"))
-    return urls.judge(pages, URL_RULES, listed)
+    return urls.judge(pages, URL_RULES, listed.unionByName(thin.filter(F.instr("domain", "/") > 1)))
 
 
 @_query("op3_superminhash_dedup")

@@ -69,6 +69,16 @@ def domains(host_: Column) -> Column:
             F.slice(parts, i, F.size(parts) - i + 1), ".")))
 
 
+def names(host_: Column, path_: Column) -> Column:
+    """What a list may name a url by: its domains, and its address (host and path) if it has a path."""
+    address = F.when((host_ != "") & (path_ != ""), F.array(F.concat(host_, path_)))
+    return F.concat(domains(host_), F.coalesce(address, F.array().cast("array<string>")))
+
+
+def _asked(pages: DataFrame) -> Column:
+    return names(F.col("host"), F.col("path")) if "path" in pages.columns else domains(F.col("host"))
+
+
 class Cascade:
     """Levels of ``(bits, hashes, words)``; words are little-endian 64-bit blocks of the bit array."""
 
@@ -155,14 +165,17 @@ def _contains(cascade, keys: np.ndarray) -> np.ndarray:
 
 
 def listed_urls(pages: DataFrame, listed: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows of ``pages`` with ``hit boolean``: whether the host or a parent domain is in ``listed`` (``domain``).
+    """Rows of ``pages`` with ``hit boolean``: whether the host, a parent domain or the address is in ``listed``.
 
-    ``pages`` holds ``host``. The universe is every distinct domain of every row; domains listed but absent from the
-    corpus are left out of it, since no row asks for them. Null domains are ignored. Keys are counted first, and the
+    ``pages`` holds ``host``, and ``path`` if addresses count; ``listed`` holds domains and addresses (host and path) as
+    ``domain``, hosts in any case. The universe is every distinct domain and address of every row; what is listed but
+    absent from the corpus is left out of it, since no row asks for it. Null names are ignored. Keys are counted first, and the
     number of shards is such that the filters of one stay inside ``budget`` bytes.
     """
-    keys = pages.select(F.explode(domains(F.col("host"))).alias("domain")).distinct()
-    marked = (keys.join(listed.select(F.lower("domain").alias("domain")).filter("domain is not null").distinct()
+    keys = pages.select(F.explode(_asked(pages)).alias("domain")).distinct()
+    first = F.substring_index("domain", "/", 1)
+    named = F.concat(F.lower(first), F.substring(F.col("domain"), F.length(first) + 1, F.length("domain")))
+    marked = (keys.join(listed.select(named.alias("domain")).filter("domain is not null").distinct()
                         .withColumn("l", F.lit(True)), "domain", "left")
               .select(F.xxhash64("domain").alias("key"), F.coalesce("l", F.lit(False)).alias("listed")))
     # two domains of one hash, should that ever happen, count as listed if either is
@@ -180,7 +193,7 @@ def listed_urls(pages: DataFrame, listed: DataFrame, budget: int = BROADCAST_BYT
             found = cascade.value.contains(np.concatenate(keys.to_list()).astype(np.int64).view(np.uint64))
             return pd.Series(np.bincount(np.repeat(np.arange(len(n)), n), found, len(n)) > 0)
 
-        return pages.withColumn("hit", any_listed(F.transform(domains(F.col("host")), lambda d: F.xxhash64(d))))
+        return pages.withColumn("hit", any_listed(F.transform(_asked(pages), lambda d: F.xxhash64(d))))
     # beyond the bound: one pass of the distinct keys per shard, then the few listed keys meet their rows
     hits = None
     for i in range(shards):
@@ -189,10 +202,11 @@ def listed_urls(pages: DataFrame, listed: DataFrame, budget: int = BROADCAST_BYT
         part = (universe.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == i).filter(is_listed("key")).select("key"))
         hits = part if hits is None else hits.unionByName(part)
     hits = stage(hits, "listed-keys")
-    hosts = (pages.select(F.col("host").alias("h")).distinct()
-             .select("h", F.explode(domains(F.col("h"))).alias("d"))
+    own = _asked(pages)
+    asked = F.xxhash64(F.array_join(own, " "))  # urls that ask for the same names are looked up once
+    found = (pages.select(asked.alias("h"), own.alias("d")).distinct().select("h", F.explode("d").alias("d"))
              .join(hits, F.xxhash64("d") == F.col("key"), "left_semi").select("h").distinct().withColumn("y", F.lit(True)))
-    return (pages.join(hosts, F.col("host") == F.col("h"), "left")
+    return (pages.join(found, asked == F.col("h"), "left")
             .withColumn("hit", F.coalesce("y", F.lit(False))).drop("h", "y"))
 
 
@@ -200,8 +214,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame,
           budget: int = BROADCAST_BYTES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages`` (``page_id, url``; others are not read).
 
-    The longest fitting rule decides; without one a URL is blocked if its host or a parent domain is in ``listed``
-    (``domain``), else allowed. Null urls and urls without ``://`` have an empty host and path and are allowed.
+    The longest fitting rule decides; without one a URL is blocked if its host, a parent domain or its address (host and
+    path) is in ``listed`` (``domain``), else allowed. Null urls and urls without ``://`` have an empty host and path and are allowed.
     Repeated rows and null ids are judged like any row; an empty table gives an empty result.
     """
     p = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))

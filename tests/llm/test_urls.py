@@ -54,3 +54,19 @@ def test_nothing_listed_and_empty_table(spark):
     none = spark.createDataFrame([], "domain string")
     assert urls.judge(df, [], none).first().verdict == "allow"
     assert urls.judge(df.limit(0), RULES, none).count() == 0
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 300])
+def test_addresses_are_listed_beside_domains(spark, budget):
+    rows = [(i, f"http://h{i % 7}.org.{'ABC'[i % 3]}/p/{i % 501}?q={i}") for i in range(3000)] + [(-1, "http://h1.x"), (-2, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
+    listed = [f"H{i % 7}.org.{'aBc'[i % 3]}/p/{i}" for i in range(0, 501, 5)] + ["x", "H2.org.b", "absent.com/p", None]
+    got = {r.page_id: r.verdict for r in urls.judge(pages, [], spark.createDataFrame([(x,) for x in listed], "domain string"),
+                                                    budget).collect()}
+    low = {x.partition("/")[0].lower() + "".join(x.partition("/")[1:]) for x in listed if x}
+    for i, u in rows:
+        h, _, p = (u or "").partition("://")[2].partition("?")[0].partition("/")
+        h = h.lower()
+        own = {h, *(h.split(".", k)[-1] for k in range(1, h.count(".") + 1)), f"{h}/{p}" if p else h}
+        assert got[i] == ("block" if own & low else "allow"), u
+    assert sum(v == "block" for v in got.values()) > 200
