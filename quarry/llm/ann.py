@@ -4,11 +4,13 @@ Building. Equal vectors are folded into one node first. Each node starts from th
 few random-hyperplane trees. Then, round by round, every node takes its neighbours and the nodes it is a neighbour of
 (two joins on the edge table) and introduces them to each other: members of one list are neighbours of neighbours. A
 pair is offered only if one of its edges is new and it beats the worst neighbour a member has. Rounds end when few
-lists change. Long lists are dealt into sub-lists, so a node that very many point to is not gathered in one task, and
-no member is left out.
+lists change. Long lists are dealt into sub-lists, anew each round, so a node that very many point to is not
+gathered in one task, no member is left out, and members that were apart meet in a later round.
 
 Searching. A query keeps a pool of its best nodes. Each round joins the pool's unexpanded nodes with their adjacency
-and the candidates with their vectors, until nothing in the pool is unexpanded. The pool is scored again in double
+and the candidates with their vectors, until nothing in the pool is unexpanded. Of the many nodes that point to a hub
+the hub leads back to the nearest, and to every one that hardly any list holds if the hub is nearest to it, so each node
+can be reached. The pool is scored again in double
 precision on the original vectors, and nodes give way to the vectors they stand for.
 """
 
@@ -28,8 +30,8 @@ from quarry.llm.common import broadcast_if_small, stage, unstage
 NEIGHBOURS, TREES, LEAF, LIST = 24, 5, 1024, 96
 ROUNDS, SETTLED = 8, 0.02
 OFFERS = 8
-#: Pool of a query and rounds of its search.
-POOL, HOPS = 160, 16
+#: Pool of a query, and the lists that must hold a node for its way back not to matter.
+POOL, KNOWN = 160, 3
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -126,7 +128,7 @@ def merged(offers: DataFrame, k: int) -> DataFrame:
     return lists.mapInPandas(run, "node long, nbrs array<long>, sims array<float>, new array<boolean>")
 
 
-def introduce(graph: DataFrame, nodes: DataFrame, k: int, offers: int, width: int) -> DataFrame:
+def introduce(graph: DataFrame, nodes: DataFrame, k: int, offers: int, width: int, turn: int = 0) -> DataFrame:
     """One round of neighbours of neighbours: what the members of each list offer each other."""
     edge = graph.select("node", F.explode(F.arrays_zip("nbrs", "new")).alias("e")).select(
         "node", F.col("e.nbrs").alias("nbr"), F.col("e.new").alias("new"))
@@ -140,7 +142,7 @@ def introduce(graph: DataFrame, nodes: DataFrame, k: int, offers: int, width: in
         F.array_min("sims")).cast("float").alias("worst")), F.col("node") == F.col("g")).select(
         F.col("node").alias("u"), _halved("unit").alias("half"), "worst")
     lists = (both.join(size, F.col("pivot") == F.col("p")).join(half, F.col("member") == F.col("u"))
-             .groupBy("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
+             .groupBy("pivot", F.pmod(F.xxhash64(F.lit(turn), "member"), F.col("parts")).alias("part"))
              .agg(*[F.collect_list(c).alias(c) for c in ("member", "new", "half", "worst")]))
 
     def run(batches):
@@ -181,8 +183,8 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf:
     dim = len(nodes.first()["unit"]) // 4
     start = leaf_neighbours(nodes, n, dim, k, trees, leaf).withColumn("kept", F.lit(False))
     graph = stage(merged(start, k), "graph")
-    for _ in range(rounds):
-        offered = introduce(graph, nodes, k, OFFERS, LIST).withColumn("kept", F.lit(False))
+    for turn in range(rounds):
+        offered = introduce(graph, nodes, k, OFFERS, LIST, turn).withColumn("kept", F.lit(False))
         known = graph.select("node", "nbrs", "sims", F.lit(True).alias("kept"))
         better = stage(merged(known.unionByName(offered), k), "graph")
         unstage(graph)
@@ -194,17 +196,20 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf:
 
 
 def adjacency(graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """``node, adj``: a node's neighbours and the nearest ``k`` of the nodes it is a neighbour of."""
-    e = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select(
-        F.col("e.nbrs").alias("at"), F.col("node").alias("from"), F.col("e.sims").alias("sim"))
+    """``node, adj``: a node's neighbours, the nearest ``k`` of the nodes it is a neighbour of, and of the others those
+    that it is nearest to and that fewer than ``KNOWN`` lists hold."""
+    e = graph.select("node", F.posexplode(F.arrays_zip("nbrs", "sims")).alias("place", "e")).select(
+        F.col("e.nbrs").alias("at"), F.col("node").alias("from"), F.col("e.sims").alias("sim"), "place")
     near = Window.partitionBy("at").orderBy(F.desc("sim"), "from")
-    back = (e.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
-            .groupBy("at").agg(F.collect_list("from").alias("back")))
+    close = e.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k).select("at", "from")
+    known = e.groupBy(F.col("at").alias("held")).count().filter(F.col("count") >= KNOWN)
+    hidden = (e.filter("place = 0").join(known, F.col("from") == F.col("held"), "left_anti").select("at", "from"))
+    back = close.unionByName(hidden).groupBy("at").agg(F.collect_set("from").alias("back"))
     return graph.join(back, F.col("node") == F.col("at"), "left").select(
         "node", F.array_distinct(F.concat("nbrs", F.coalesce("back", F.array().cast("array<long>")))).alias("adj"))
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, adj: DataFrame, pool: int = POOL, hops: int = HOPS) -> DataFrame:
+def greedy_search(queries: DataFrame, nodes: DataFrame, adj: DataFrame, pool: int = POOL) -> DataFrame:
     """``query, pool`` (nodes, best first) from ``query, unit, start array<long>``."""
     state = stage(queries.select("query", "unit", F.array_distinct("start").alias("todo"), F.array().cast("array<long>")
                                  .alias("pool"), F.array().cast("array<float>").alias("sims"),
@@ -231,7 +236,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, adj: DataFrame, pool: in
             yield pd.DataFrame(rows, columns=["query", "unit", "pool", "sims", "seen", "todo"])
 
     ask = state.select("query", F.explode("todo").alias("y")).distinct()
-    for _ in range(hops):
+    while True:  # a node is asked for once, so this ends
         found = (ask.join(nodes, F.col("y") == F.col("node")).groupBy(F.col("query").alias("q"))
                  .agg(F.collect_list("y").alias("ids"), F.collect_list(nodes["unit"]).alias("vecs")))
         nxt = stage(state.drop("todo").join(found, F.col("query") == F.col("q"), "left").drop("q")
