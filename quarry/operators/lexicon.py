@@ -27,7 +27,7 @@ def similar_by_bigrams(queries: DataFrame, vocab: DataFrame, threshold: float =
                                                         F.col("c").alias("qc")), "bigram")
          .filter(F.col("word") != F.col("query_word"))
          .groupBy("query_word", "word").agg(F.sum(F.col("vc") * F.col("qc")).alias("dot")))
-    c = (s.join(vn, "word").join(F.broadcast(qn.withColumnRenamed("word", "query_word")), "query_word")
+    c = (s.join(vn, "word").join(checked_broadcast(qn.withColumnRenamed("word", "query_word")), "query_word")
          .select("query_word", F.col("word").alias("similar"), (F.col("dot") / (F.col("qn") * F.col("vn"))).alias("similarity"))
          .filter(F.col("similarity") >= threshold))
     return top_k(c, k, score_col="similarity", group_col="query_word", id_col="similar")

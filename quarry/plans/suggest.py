@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
 from quarry.operators import suggest as G
-from quarry.plans import register
+from quarry.plans import _REGISTRY, register
 from quarry.plans.common import doc_index, r6, sql_std_tokens, tbl
+from quarry.plans.vectors import SQL_WV
 
 SQL_LOOKUPS = """
 names AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) > 0),
@@ -147,7 +148,21 @@ def alt_queries(spark, sf_dir):
                     F.trim(F.col("text")).alias("alternative"), "logp")
 
 
-@register("suggest_diversify")
+def _diversify_sql() -> str:
+    prefix = _REGISTRY["suggest_prefix"][1]
+    return f"""WITH {SQL_WV},
+sugg AS (SELECT lookup_id, entry, weight FROM ({prefix})),
+each AS (SELECT *, string_split(entry, ' ') AS ws, unnest(range(1, len(string_split(entry, ' ')) + 1)) AS k FROM sugg),
+nn AS (SELECT p.word, w2.word AS alt, list_cosine_similarity(w1.vector, w2.vector) AS sim
+       FROM (SELECT DISTINCT ws[k] AS word FROM each) p JOIN wv w1 ON w1.word = p.word JOIN wv w2 ON w2.word <> p.word),
+best AS (SELECT word, alt FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(sim, 9) DESC, alt) AS r FROM nn)
+         WHERE r = 1 AND sim > 0.7),
+rep AS (SELECT lookup_id, array_to_string(list_concat(ws[:k - 1], [alt], ws[k + 1:]), ' ') AS entry,
+               floor(weight * 0.7::DOUBLE)::BIGINT AS weight FROM each JOIN best ON best.word = ws[k])
+SELECT lookup_id, entry, weight FROM sugg UNION SELECT lookup_id, entry, weight FROM rep"""
+
+
+@register("suggest_diversify", _diversify_sql())
 def suggest_diversify(spark, sf_dir):
     """Each prefix suggestion plus, for each of its words, a copy with that word replaced by its nearest
     word-vector neighbour (similarity above 0.7), weight × 0.7 truncated."""
