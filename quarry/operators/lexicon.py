@@ -18,8 +18,11 @@ def bigrams(words: DataFrame, col: str = "word") -> DataFrame:
 
 
 def similar_by_bigrams(queries: DataFrame, vocab: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
-    """Top-k vocabulary words (≠ the query word) with bigram-count cosine >= threshold."""
-    vb = bigrams(vocab)
+    """Top-k vocabulary words (≠ the query word) with bigram-count cosine >= threshold.
+
+    The vocabulary is dealt by word once; a word's bigrams stay with it, so pairs are summed and cut where they arise.
+    """
+    vb = bigrams(vocab.select("word").repartition("word"))
     qb = checked_broadcast(bigrams(queries))
     vn = vb.groupBy("word").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("vn"))
     qn = qb.groupBy("word").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("qn"))
