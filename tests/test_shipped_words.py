@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import ranking, vectors, vectors_agg
+from quarry.operators import ranking, search, vectors, vectors_agg
 from quarry.operators.index import Index
 from quarry.operators.lexicon import similar_by_bigrams
 
@@ -106,3 +106,18 @@ def test_bigram_pairs_are_cut_where_they_arise(spark):
     plan = r._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     moves = [x for x in plan.splitlines() if "Exchange hashpartitioning(query_word" in x]
     assert moves and not any(", word#" in x for x in moves)
+
+
+def test_only_the_best_documents_of_a_query_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(vectors_agg, "_PAIRS", 7)
+    idx = index(spark)
+    wv = spark.createDataFrame([(f"w{i}", [1.0 + i % 5, 2.0 - i]) for i in range(30)] + [("w2", [0.0, 0.0])], "word string, vector array<double>")
+    q = spark.createDataFrame([(1, "w3"), (1, "w4"), (2, "w9"), (None, "w9"), (3, "w2"), (4, "none")], "query_id long, term string")
+    rank = lambda df: sorted(((r.query_id or 0, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect()))
+    scores = vectors.score_word_embeddings(idx.postings, q, wv, "tf_idf", 40)
+    assert rank(vectors.rank_word_embeddings(idx.postings, q, wv, "tf_idf", 40, k=3)) == rank(search.top_k(scores, 3))
+    kept = vectors.score_word_embeddings(idx.postings, q, wv, "tf_idf", 40, best=3)
+    assert kept.count() <= 3 * 4 * kept.rdd.getNumPartitions() and "query_id" in kept.columns
+    plan = vectors.rank_word_embeddings(idx.postings, q, wv, "tf", k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id, doc_id" not in plan.replace("#", " ").replace("  ", " ")
+    assert "MapInArrow" in plan
