@@ -4,7 +4,7 @@ A sketch holds ``buckets`` values per document: every shingle is hashed
 (first 32 bits of its md5), lands in bucket ``h mod buckets`` and each bucket
 keeps its minimum; an empty bucket takes the value of the next filled bucket
 (cyclically) — "rotation". The per-bucket minimum is one aggregation keyed by
-``(id, bucket)`` whose partial step runs before the shuffle; rotation then runs
+``(id, bucket)`` after the hashes were shuffled once by id; rotation then runs
 inside the row over at most ``buckets`` entries.
 
 The index is the long table ``(id, bucket, hash)``. A search joins the
@@ -31,9 +31,12 @@ def hash32(c) -> Column:
 
 
 def minhash_entries(df: DataFrame, id_col: str, shingles_col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``(id, entries)``: sorted ``array<struct<bucket,h>>`` of per-bucket minima."""
-    ex = (df.select(id_col, F.explode_outer(shingles_col).alias("_s")).filter(F.col("_s").isNotNull())
-          .withColumn("h", hash32("_s")))
+    """``(id, entries)``: sorted ``array<struct<bucket,h>>`` of per-bucket minima.
+
+    A document's hashes are shuffled once, as one row; both aggregations run where they lie.
+    """
+    hashed = df.select(id_col, F.transform(F.array_distinct(shingles_col), hash32).alias("_h")).repartition(id_col)
+    ex = hashed.select(id_col, F.explode_outer("_h").alias("h")).filter(F.col("h").isNotNull())
     mins = (ex.groupBy(id_col, F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.min("h").alias("h")))
     return mins.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("bucket", "h"))).alias("entries"))
 
