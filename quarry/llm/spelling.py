@@ -115,7 +115,8 @@ def tiles(words: DataFrame, tile: int = TILE) -> DataFrame:
              .select(*[F.col(c).alias(f"_{c}") for c in _GROUP],
                      *[F.ceil(F.col(c) / tile).cast("int").alias(c) for c in ("c0", "c1")]))
     same = [F.col(c) == F.col(f"_{c}") for c in _GROUP]
-    j = rows.join(sizes, same).select(*_GROUP, "side", "word", "n", "c0", "c1")
+    # Spark sizes an exploded table by the rows before; the hint keeps the groups out of a broadcast
+    j = rows.join(sizes.hint("merge"), same).select(*_GROUP, "side", "word", "n", "c0", "c1")
     own = F.pmod(F.xxhash64("word"), F.when(F.col("side") == 0, F.col("c0")).otherwise(F.col("c1"))).cast("int")
     j = j.withColumn("own", own)
     alone = F.transform(F.sequence(F.lit(0), F.col("c0") - 1), lambda u: F.struct(
@@ -230,7 +231,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         step = at.select(F.col("word").alias("_w"), F.col("root").alias("_r"))
-        more = at.join(step, F.col("root") == F.col("_w"), "left")
+        more = at.join(step.hint("merge"), F.col("root") == F.col("_w"), "left")  # a file's size says little of its rows
         nxt = stage(more.select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")),
                     "roots")
         done = nxt.filter("moved").isEmpty()
@@ -261,6 +262,6 @@ def variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN
                                F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                                F.when(takes, F.col("near_n")).alias("form_n")), "forms")
     ends = roots(known.filter("form is not null")).select(F.col("word").alias("_w"), "root")
-    ends = broadcast_if_small(ends, 128)
+    ends = broadcast_if_small(ends.hint("merge"), 128)  # the outer hint, if given, holds
     return (known.join(ends, F.col("word") == F.col("_w"), "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))

@@ -92,3 +92,17 @@ def test_edits_by_prefix_and_suffix():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(docs).collect() == []
+
+
+def test_groups_are_never_broadcast(spark, tmp_path):
+    """The estimate of an exploded table is that of the table before, far too low; no threshold may decide by it."""
+    rows = [(f"word{a}{b}", 5) for a in "abcdefgh" for b in "abcdefgh"]
+    spark.createDataFrame(rows, "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    plan = spelling.tiles(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    ends = words.select(words.word.alias("_w"), words.word.alias("root"))
+    big = words.join(spelling.broadcast_if_small(ends.hint("merge"), 1 << 40), words.word == ends._w, "left")
+    small = words.join(spelling.broadcast_if_small(ends.hint("merge"), 128), words.word == ends._w, "left")
+    assert "SortMergeJoin" in big._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
